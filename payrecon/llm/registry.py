@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+from . import decontam, line_dedup, mixing, quality, simhash
 
-MODULES = (line_dedup, mixing, quality)
+MODULES = (line_dedup, mixing, quality, simhash, decontam)
 
 
 def queries() -> dict:
