@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing, quality, simhash
+from . import decontam, line_dedup, mixing, quality, simhash, tokens, warc
 
-MODULES = (line_dedup, mixing, quality, simhash, decontam)
+MODULES = (line_dedup, mixing, quality, simhash, decontam, tokens, warc)
 
 
 def queries() -> dict:
