@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,19 @@ def hash_share(id_col: str, seed: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once a row, also where body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Shipped:
+    """A value for the tasks, broadcast together with its classes; get() unpacks it once a task."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.value = []
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "value": []}
+
+    def get(self):
+        if not self.value:
+            self.value.append(pickle.loads(self.packed.value))
+        return self.value[0]

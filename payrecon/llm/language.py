@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, hash_share, table
+from .common import Shipped, crc_of_id, hash_share, table
 
 #: The bounded sample that the model is fitted on, and how many of its texts are landmarks.
 PER_LANGUAGE, LANDMARKS = 400, 160
@@ -134,11 +134,11 @@ def with_language(docs: DataFrame, model: KernelModel | None, text_col: str = "t
 
     At scale: one narrow pass; the model is a bounded number of landmarks, whatever the size of the table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        fitted = shared.value
+        fitted = shared.get()
         for batch in batches:
             names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
             for at in range(0, len(batch), 128):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, language, line_dedup, mixing, quality, simhash, tokens, toxicity, warc
+from . import decontam, language, line_dedup, mixing, pii, quality, simhash, tokens, toxicity, warc
 
-MODULES = (line_dedup, mixing, quality, simhash, decontam, tokens, warc, language, toxicity)
+MODULES = (line_dedup, mixing, quality, simhash, decontam, tokens, warc, language, toxicity, pii)
 
 
 def queries() -> dict:

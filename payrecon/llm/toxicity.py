@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, hash_share, table
+from .common import Shipped, crc_of_id, hash_share, table
 
 #: The bounded sample of labelled rows: so many of each label, about.
 PER_LABEL = 2500
@@ -137,11 +137,11 @@ def with_toxicity(docs: DataFrame, model: ToxicModel | None, text_col: str = "te
     repeated rows get the same score; an empty table gives an empty table; an input column named as the output
     is replaced. At scale: one narrow pass with a model of fixed size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        fitted = shared.value
+        fitted = shared.get()
         return pa.array([0.0 if fitted is None else fitted.score(t.as_py()) for t in texts], pa.float64())
 
     kept = [c for c in docs.columns if c != out]
