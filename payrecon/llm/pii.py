@@ -222,5 +222,6 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, train(docs))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))

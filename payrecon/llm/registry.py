@@ -8,8 +8,14 @@ MODULES = (line_dedup, mixing, quality, simhash, decontam, tokens, warc, languag
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
+    import corpus_pipeline
+
+    own = {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
+    import corpus_pipeline
+
+    own = {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
