@@ -1 +1,10 @@
-"""payrecon: Spark jobs that turn payment statements into trustworthy tables."""
+"""payrecon: Spark jobs that turn payment statements into trustworthy tables.
+
+The few Python helpers travel to the executors by value, so that these need no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
