@@ -128,3 +128,39 @@ def sql_filename_amount(x: str) -> str:
 def sql_carrier(x: str) -> str:
     stem = rf"regexp_replace(regexp_replace(regexp_replace({x}, '\.[A-Za-z]+$', ''), '\s*\(\d+\)$', ''), '[\s_-]*-?\d[\d,]*\.\d{{2}}$', '')"
     return f"coalesce(nullif(trim({stem}, ' _-'), ''), {stem})"
+
+#: Per statement its sums, as text and number; the stated commission is off by one on every seventh order.
+SUMS = f"""
+SELECT stmt_id, cast(stmt_id AS bigint) AS k, cast(count(*) AS int) AS n,
+  cast(cast(sum(cast(gross AS decimal(18,2))) AS decimal(18,2)) AS string) AS gross,
+  cast(cast(sum(comm_num) AS decimal(18,2)) AS string) AS comm,
+  cast(cast(sum(comm_num) + CASE WHEN cast(stmt_id AS bigint) % 7 = 0 THEN 1 ELSE 0 END AS decimal(18,2)) AS string) AS stated
+FROM ({STMT_ROWS}) r GROUP BY stmt_id
+"""
+TOTALS = f"SELECT stmt_id, n + 1 AS row_no, 'Totals' AS policy, '' AS insured, '' AS eff, gross, '' AS rate, stated AS comm FROM ({SUMS}) s"
+
+#: Rows of which the last may be a total: labelled, by its sums alone, with wrong sums, none, or a look-alike.
+CLOSED_ROWS = f"""
+SELECT stmt_id, row_no, policy, insured, eff, gross, rate, comm FROM ({STMT_ROWS}) a
+UNION ALL
+SELECT stmt_id, n + 1, CASE k % 5 WHEN 0 THEN 'Totals' WHEN 4 THEN 'PN0000000' ELSE '100360 - Agency' END,
+  CASE k % 5 WHEN 4 THEN 'Total Comfort Heating' ELSE '' END, CASE k % 5 WHEN 4 THEN '20240101' ELSE '' END, gross,
+  CASE k % 5 WHEN 4 THEN '1.00%' ELSE '' END, CASE k % 5 WHEN 2 THEN stated || '1' ELSE stated END
+FROM ({SUMS}) s WHERE k % 5 <> 3
+"""
+#: Several rows that say total: group totals, the total, and captions without figures.
+TOTAL_ROWS = f"""
+SELECT stmt_id, 1 AS row_no, 'Subtotal' AS policy, gross, comm FROM ({SUMS}) a
+UNION ALL SELECT stmt_id, 2, 'Grand Total', CASE WHEN k % 3 = 0 THEN '' ELSE gross END, CASE WHEN k % 3 = 0 THEN 'n/a' ELSE comm END FROM ({SUMS}) b
+UNION ALL SELECT stmt_id, 3, 'TOTAL COMMISSIONS PAID THIS PERIOD:', '', '' FROM ({SUMS}) c WHERE k % 2 = 0
+"""
+#: The text lines of statements: declared totals, and totals of other periods.
+LINES = f"""
+SELECT stmt_id, 1 AS page_no, 1 AS line_no, 'Statement of account ' || stmt_id AS text FROM ({SUMS}) a
+UNION ALL SELECT stmt_id, 1, 2, CASE k % 6 WHEN 0 THEN 'Producer commissions total ' || gross || ' ' || comm
+  WHEN 1 THEN 'PRIOR MONTH Check Total ' || comm || ' now Check  Total: ' || gross WHEN 2 THEN 'Check Total: $' || comm
+  WHEN 3 THEN 'grand TOTAL (' || gross || ')' WHEN 4 THEN 'Premium ' || gross
+  ELSE 'Net Amount 1.00 Total Commission Paid to Agency ' || comm || ' Total credit 2.50' END FROM ({SUMS}) b
+UNION ALL SELECT stmt_id, 2, 1, 'YTD total payout ' || gross FROM ({SUMS}) c WHERE k % 4 = 0
+UNION ALL SELECT stmt_id, 2, 2, 'Total amount due ' || stated FROM ({SUMS}) d WHERE k % 5 = 0
+"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalar_queries
+from . import history_queries, reconcile_queries, scalar_queries
 
-MODULES = (scalar_queries,)
+MODULES = (scalar_queries, reconcile_queries, history_queries)
 
 
 def queries() -> dict:
