@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ _ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$"
 _MDY = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})(?:[ T].*)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row; keeps the code that Spark generates small, too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_WHITE}+|{_WHITE}+\z", "")
 
@@ -37,11 +43,13 @@ def same_cent(a: Column, b: Column, tolerance: float = config.CENT) -> Column:
 
 def to_amount(text: Column) -> Column:
     """Statement amount as a number; null for anything else. Parentheses around the whole mean minus."""
-    cell = strip(text)
-    bare = strip(F.regexp_replace(F.regexp_replace(cell, r"^[()]+|[()]+$", ""), "[,$%]", ""))
-    value = bare.try_cast("double")
-    negative = cell.startswith("(") & cell.endswith(")")
-    return F.when(bare.rlike(_NUMBER), F.when(negative, -value).otherwise(value))
+
+    def of(cell: Column) -> Column:
+        bare = strip(F.regexp_replace(F.regexp_replace(cell, r"^[()]+|[()]+$", ""), "[,$%]", ""))
+        sign = F.when(cell.startswith("(") & cell.endswith(")"), -1.0).otherwise(1.0)
+        return let(bare, lambda x: F.when(x.rlike(_NUMBER), sign * x.try_cast("double")))
+
+    return let(strip(text), of)
 
 
 def is_percent(text: Column) -> Column:
@@ -56,20 +64,20 @@ def repair_text(text: Column) -> Column:
 
 def to_mdy(text: Column) -> Column:
     """Any known date form as mm/dd/yyyy, times cut; "" stays, unknown or out of range is null."""
-    cell = F.coalesce(strip(text), F.lit(""))
+    # Year, month and day; a fourth part marks years that may have two digits.
+    forms = ((_YMD8, "$1|$2|$3"), (_ISO, "$1|$2|$3"), (_MDY, "$3|$1|$2|short"))
+
+    def shown(part: Column) -> Column:
+        year, month, day = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
+        full = F.when(F.size(part) == 3, year).when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
+        good = month.between(1, 12) & day.between(1, 31) & full.between(1900, 2200)
+        return F.when(good, F.format_string("%02d/%02d/%04d", month, day, full))
 
-    def parts(pattern: str, order: str) -> Column:
-        named = {k: F.regexp_extract(cell, pattern, i + 1).try_cast("int") for i, k in enumerate(order)}
-        year = named["y"]
-        if order == "mdy":
-            year = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
-        return F.when(cell.rlike(pattern), F.struct(year.alias("y"), named["m"].alias("m"), named["d"].alias("d")))
+    def of(cell: Column) -> Column:
+        flat = F.coalesce(*[F.when(cell.rlike(p), F.regexp_replace(cell, p, order)) for p, order in forms])
+        return F.when(cell == "", F.lit("")).otherwise(let(F.split(flat, r"\|"), shown))
 
-    found = F.coalesce(parts(_YMD8, "ymd"), parts(_ISO, "ymd"), parts(_MDY, "mdy"))
-    good = found["m"].between(1, 12) & found["d"].between(1, 31) & found["y"].between(1900, 2200)
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    shown = F.concat(pad(found["m"], 2), F.lit("/"), pad(found["d"], 2), F.lit("/"), pad(found["y"], 4))
-    return F.when(cell == "", F.lit("")).when(good, shown)
+    return let(F.coalesce(strip(text), F.lit("")), of)
 
 
 def first_of_mdy(text: Column) -> Column:
@@ -105,15 +113,13 @@ def carrier_name(filename: Column) -> Column:
 
 def clean_value(value: Column, kind: Column, divisor: Column) -> Column:
     """A cell after its column's plan: dates and figures in one form, everything else as it is."""
-    cell = F.coalesce(strip(value), F.lit(""))
-    figure = to_amount(cell) / divisor
-    return (
-        F.when(cell == "", F.lit(""))
-        .when(kind == "date", F.coalesce(F.nullif(to_mdy(cell), F.lit("")), cell))
-        .when(kind == "money", F.coalesce(format_amount(figure, 2), cell))
-        .when(kind == "percent", F.coalesce(format_amount(figure, 1), cell))
-        .otherwise(cell)
-    )
+
+    def of(cell: Column) -> Column:
+        figure = lambda decimals: format_amount(to_amount(cell) / divisor, decimals)
+        clean = F.when(kind == "date", F.nullif(to_mdy(cell), F.lit(""))).when(kind == "money", figure(2)).when(kind == "percent", figure(1))
+        return F.coalesce(clean, cell)
+
+    return let(F.coalesce(strip(value), F.lit("")), of)
 
 
 def typed_cell(value: Column, header: Column) -> Column:
