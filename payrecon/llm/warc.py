@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import scratch, stored, table
 
@@ -59,41 +58,58 @@ def _field(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?i)\r\n{name}:[ \t]*([^\r]*)", 1), F.lit(""))
 
 
-def _cut(value: Column, start: Column, size: Column) -> Column:
-    """`size` bytes of a binary from byte `start`, counted from 1."""
-    return F.substring(value, start, size)
-
-
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The archives cut at every occurrence of the magic, in whatever splits the scan has.
 
-    `_file, _at` (offset of the magic), `_bytes` (what follows it up to the next magic or the end). Spark's text
-    reader with the magic as line separator does the cutting; it hands on bytes as they are. Offsets are sums
-    of lengths over the segments of a file.
+    `_path, _file` (its hash), `_block` and `_seq` (their order within the file), `_bytes`: what follows a magic
+    up to the next one or the end. Spark's text reader with the magic as line separator does the cutting; it
+    hands on bytes as they are. Reading the same files again gives the same rows.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+    path_of = F.col("_metadata.file_path")
+    return spark.read.option("lineSep", MAGIC).text(path).select(
+        path_of.alias("_path"), F.xxhash64(path_of).alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"), F.col("value").cast("binary").alias("_bytes"),
     )
-    return stored(raw.withColumn("_len", F.octet_length("_bytes")), "warc-segments")
 
 
-def offsets(cut: DataFrame) -> DataFrame:
-    """`_file, _seq, _at`: the offset of the magic before each segment; -10 for what is before the first."""
-    order = Window.partitionBy("_file").orderBy("_block", "_seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.lit(len(MAGIC))
-    return cut.select("_file", "_block", "_seq", "_len").withColumn("_at", F.coalesce(F.sum(F.col("_len") + size).over(order), F.lit(0)) - size)
+def _with_header(rows: DataFrame) -> DataFrame:
+    """rows with `_head` (from the line break that ends the magic on), `_size` (Content-Length) and `_from`, the
+    first byte of the block; null where there is no header."""
+    text = F.col("_bytes").cast("string")
+    head = F.when(F.instr(text, BREAK) > 0, F.concat(F.lit("\r\n"), F.substring_index(text, BREAK, 1)))
+    rows = rows.withColumn("_head", head).withColumn("_size", _field(F.col("_head"), "Content-Length"))
+    size = F.expr("try_cast(_size AS bigint)")
+    return rows.withColumn("_size", F.when(size >= 0, size)).withColumn("_from", F.octet_length("_head").cast("long") - 2 + len(BREAK) + 1)
+
+
+def _block_of(rows: DataFrame) -> Column:
+    return F.expr("substring(_bytes, cast(_from AS int), cast(_size AS int))")
+
+
+def payload_facts(head: Column, block: Column) -> Column:
+    """`bytes, digest` of the payload, and `declared`, the length that an HTTP head gives for it."""
+    http = F.concat(F.lit("\r\n"), F.substring_index(block.cast("string"), BREAK, 1))
+    body = F.substring(block, F.octet_length(http) - 2 + len(BREAK) + 1, F.octet_length(block))
+    is_http = F.coalesce(_field(head, "Content-Type").startswith("application/http"), F.lit(False))
+    payload = F.when(is_http, body).otherwise(block)
+    return F.struct(F.octet_length(payload).cast("long").alias("bytes"), digest_of(payload).alias("digest"), F.when(is_http, _field(http, "Content-Length").cast("long")).alias("declared"))
 
 
 def candidates(cut: DataFrame) -> DataFrame:
-    """Per segment: where its header ends and its block's length, null where no header can be read."""
-    text = F.col("_bytes").cast("string")
-    end = F.instr(text, BREAK)  # of the header, in characters
-    head = F.when(end > 0, F.concat(F.lit("\r\n"), F.substring_index(text, BREAK, 1)))
-    size = F.expr("try_cast(_size as bigint)")
-    return cut.select("_file", "_block", "_seq", head.alias("_head")).select(
-        "_file", "_block", "_seq", F.octet_length("_head").cast("long").alias("_head_len"), _field(F.col("_head"), "Content-Length").alias("_size")
-    ).withColumn("_size", size).filter("_size IS NOT NULL AND _size >= 0")
+    """What each segment says of itself, stored: length, header, length of its block, and if the whole block is
+    in the segment the facts of its payload. Payloads stay where they are."""
+    rows = _with_header(cut).withColumn("_len", F.octet_length("_bytes").cast("long"))
+    rows = rows.withColumn("_whole", F.coalesce(F.col("_len") >= F.col("_from") - 1 + F.col("_size"), F.lit(False)))
+    facts = F.when(F.col("_whole"), payload_facts(F.col("_head"), _block_of(rows)))
+    return stored(rows.select("_path", "_file", "_block", "_seq", "_len", F.when(F.col("_size").isNotNull(), F.col("_head")).alias("_head"), "_size", "_from", "_whole", facts.alias("_facts")), "warc-candidates")
+
+
+def offsets(seen: DataFrame) -> DataFrame:
+    """`_file, _block, _seq, _at` and what chains need: the offset of the magic before each segment, from sums of
+    lengths over the segments of a file; what is before the first magic gets a negative one."""
+    order = Window.partitionBy("_file").orderBy("_block", "_seq").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("_len") + len(MAGIC)).over(order), F.lit(0)) - len(MAGIC)
+    return stored(seen.select("_file", "_block", "_seq", "_len", "_size", "_from", "_whole").withColumn("_at", at).drop("_len"), "warc-offsets")
 
 
 def reachable(jumps: DataFrame) -> DataFrame:
@@ -116,66 +132,88 @@ def reachable(jumps: DataFrame) -> DataFrame:
         jumps = stored(jumps.join(there, ["_file", "_to"], "left").select("_file", "_at", F.coalesce("_next", "_to").alias("_to")), "warc-jumps")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """`file, at, head, block` of every record of the archives below `path`; block is what its length says.
+def records_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, pieces): `_file, _at, _block, _seq, _whole` of the candidates on the chains from the files' first
+    bytes, and `_file, _block, _seq, _at, _start` of all segments of the records that take several."""
+    at = offsets(seen)
+    after = F.col("_at") + len(MAGIC) + F.col("_from") - 1 + F.col("_size") + len(BREAK)
+    chain = reachable(at.filter("_size IS NOT NULL").select("_file", "_at", after.alias("_to")))
+    records = stored(at.join(chain, ["_file", "_at"]).select("_file", "_at", "_block", "_seq", "_whole"), "warc-records")
+    starts = records.select("_file", "_at", F.when(~F.col("_whole"), F.col("_at")).otherwise(F.lit(-1)).alias("_start"))
+    last = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = at.join(starts, ["_file", "_at"], "left").withColumn("_start", F.last("_start", ignorenulls=True).over(last))
+    return records, stored(placed.filter("_start >= 0").select("_file", "_block", "_seq", "_at", "_start"), "warc-pieces")
+
+
+def _together(cut: DataFrame, pieces: DataFrame) -> DataFrame:
+    """`_file, _at, _bytes` of the records in several segments: the magic goes back between them."""
+    parts = cut.join(pieces, ["_file", "_block", "_seq"])
+    rows = parts.groupBy("_file", "_start").agg(F.sort_array(F.collect_list(F.struct("_at", "_bytes"))).alias("_p"))
+    first, rest = F.get("_p", F.lit(0))["_bytes"], F.slice("_p", 2, F.size("_p"))
+    whole = F.aggregate(rest, first, lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["_bytes"]))
+    return rows.select("_file", F.col("_start").alias("_at"), whole.alias("_bytes"))
+
+
+def index_warc(spark: SparkSession, path: str) -> DataFrame:
+    """`file, at, head, block_bytes, payload` (bytes, digest, declared) of every record of the archives below `path`.
 
     Every magic is a candidate, and with its Content-Length it names its successor. Only candidates on the
-    chain from a file's first byte are records; the magic inside a payload is not, and neither is what such a
-    payload says about its length. Segments of a record are put together again.
+    chain from a file's first byte are records; the magic inside a payload is not one, and what such a payload
+    says about lengths moves nothing.
+
+    Defined cases: a file that does not begin with a record has none; a chain ends where no candidate follows;
+    empty files and folders give no rows.
+
+    At scale: archives are read in splits, and what is read of payloads (length and digest) is computed where
+    they are read; offsets, pointers and chains are tables of numbers. Only records that hold the magic are put
+    together, in a second scan that Spark skips if there are none of them.
     """
     cut = segments(spark, path)
-    at = stored(offsets(cut), "warc-offsets")
+    seen = candidates(cut)
+    records, pieces = records_of(seen)
     key = ["_file", "_block", "_seq"]
-    seen = candidates(cut).join(at, key)
-    size = len(MAGIC)
-    # The header here begins with the line break that ends the magic: two bytes are counted twice.
-    after = F.col("_at") + size + (F.col("_head_len") - 2) + len(BREAK) + F.col("_size") + len(BREAK)
-    chain = reachable(seen.select("_file", "_at", after.alias("_to")))
-    placed = at.join(chain.withColumn("_start", F.col("_at")), ["_file", "_at"], "left")
-    last = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("_start", F.last("_start", ignorenulls=True).over(last)).filter("_start IS NOT NULL")
-    many = Window.partitionBy("_file", "_start")
-    placed = stored(placed.withColumn("_of", F.count(F.lit(1)).over(many)).select(*key, "_at", "_start", "_of"), "warc-placed")
-    parts = cut.join(placed, key)
-    one = parts.filter("_of = 1").select("_file", "_start", "_bytes")
-    join = F.concat(F.col("_bytes"), F.lit(MAGIC).cast("binary"))
-    piece = F.when(F.col("_at") == F.col("_last"), F.col("_bytes")).otherwise(join)
-    more = parts.filter("_of > 1").withColumn("_last", F.max("_at").over(many))
-    more = more.groupBy("_file", "_start").agg(F.sort_array(F.collect_list(F.struct("_at", piece.alias("p")))).alias("_p"))
-    whole = F.aggregate("_p", F.lit(b""), lambda a, x: F.concat(a, x["p"]))
-    rows = one.union(more.select("_file", "_start", whole.alias("_bytes")))
-    text = F.col("_bytes").cast("string")
-    rows = rows.withColumn("_head", F.concat(F.lit("\r\n"), F.substring_index(text, BREAK, 1)))
-    length = _field(F.col("_head"), "Content-Length").cast("int")
-    block = _cut(F.col("_bytes"), F.octet_length("_head") - 2 + len(BREAK) + 1, length)
-    return rows.select(F.col("_file").alias("file"), F.col("_start").alias("at"), F.col("_head").alias("head"), block.alias("block"))
+    known = records.filter("_whole").select(*key, "_at").join(seen, key).select(F.col("_path").alias("file"), F.col("_at").alias("at"), F.col("_head").alias("head"), F.col("_size").alias("block_bytes"), F.col("_facts").alias("payload"))
+    if pieces.isEmpty():
+        return known
+    more = _with_header(_together(cut, pieces))
+    more = more.join(records.filter("NOT _whole").select("_file", "_at", "_block", "_seq"), ["_file", "_at"]).join(seen.select(*key, "_path"), key)
+    more = more.select(F.col("_path").alias("file"), F.col("_at").alias("at"), F.col("_head").alias("head"), F.col("_size").alias("block_bytes"), payload_facts(F.col("_head"), _block_of(more)).alias("payload"))
+    return known.union(more)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """`at, head, block` of every record, found as in index_warc(), with the block's bytes."""
+    cut = segments(spark, path)
+    records, pieces = records_of(candidates(cut))
+    key = ["_file", "_block", "_seq"]
+    one = cut.join(records.filter("_whole").select(*key, "_at"), key).select("_file", "_at", "_bytes")
+    rows = _with_header(one.union(_together(cut, pieces)))
+    return rows.select(F.col("_at").alias("at"), F.col("_head").alias("head"), _block_of(rows).alias("block"))
 
 
 def page_index(found: DataFrame, id_type: str = "long") -> DataFrame:
-    """Per record of HTTP responses: its page, the full payload's size and digest, and what it revisits."""
-    http = F.concat(F.lit("\r\n"), F.substring_index(F.col("block").cast("string"), BREAK, 1))
-    rows = found.withColumn("_http", http).withColumn("_kind", _field(F.col("head"), "WARC-Type"))
-    payload = _cut(F.col("block"), F.octet_length("_http") - 2 + len(BREAK) + 1, F.octet_length("block"))
+    """Per record of index_warc(): its page, the full payload's size and digest, and what it revisits.
+
+    A revisit has no payload of its own: its HTTP head and its digest field speak of the payload it refers to.
+    """
+    rows = found.withColumn("_kind", _field(F.col("head"), "WARC-Type"))
     revisit = F.col("_kind") == "revisit"
+    rows = rows.withColumn("_rid", _field(F.col("head"), "WARC-Record-ID")).withColumn("_ref", _field(F.col("head"), "WARC-Refers-To"))
     page = lambda name: F.expr(f"try_cast(regexp_extract({name}, '<urn:page:(.*)>', 1) AS {id_type})")
-    return (
-        rows.withColumn("_payload", payload)
-        .withColumn("_rid", _field(F.col("head"), "WARC-Record-ID"))
-        .withColumn("_ref", _field(F.col("head"), "WARC-Refers-To"))
-        .select(
-            page("_rid").alias("page_id"),
-            F.when(revisit, _field(F.col("_http"), "Content-Length").cast("long")).otherwise(F.octet_length("_payload").cast("long")).alias("payload_bytes"),
-            F.when(revisit, F.regexp_replace(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "")).otherwise(digest_of(F.col("_payload"))).alias("payload_digest"),
-            F.col("_kind").alias("record_type"),
-            page("_ref").alias("refers_to"),
-        )
+    stated = F.regexp_replace(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "")
+    return rows.select(
+        page("_rid").alias("page_id"),
+        F.when(revisit, F.col("payload.declared")).otherwise(F.col("payload.bytes")).alias("payload_bytes"),
+        F.when(revisit, stated).otherwise(F.col("payload.digest")).alias("payload_digest"),
+        F.col("_kind").alias("record_type"),
+        page("_ref").alias("refers_to"),
     )
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return page_index(read_warc(spark, path))
+    return page_index(index_warc(spark, path))
 
 
 SQL = {
