@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-#: Words and pieces that one Python worker remembers; beyond that it forgets all and goes on.
-WORDS_KEPT, PIECES_KEPT = 800_000, 500_000
-#: The split of the tokenizer's file; fixed values.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words, and pieces of words, that one Python worker remembers from late and as many from before.
+WORDS_KEPT, PIECES_KEPT = 200_000, 200_000
+#: The split of the tokenizer's file, with white space as Unicode has it; fixed values.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 ORC = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -30,58 +31,70 @@ ORC = {
 }
 
 
+class _Known(dict):
+    """What `make` gave for each key. When it is full it becomes the old part, and the older one is forgotten."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else one from 256 up."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
+    return [chr(b) if prints[b] else chr(256 + b - sum(prints[:b])) for b in range(256)]
+
+
 class Encoder:
     """Tokenizer.encode(text, add_special_tokens=False), with what it gave for each word remembered.
 
     White space ends every piece of this tokenizer's split, so the ids of a text are those of its words in a
-    row. Latin words are further cut by the same split, so that case and punctuation share what is remembered.
-    Texts that spell a special token, and words beyond Latin, go through the tokenizer as they are.
+    row. Latin words are further cut by the same split, so that case and punctuation share what is remembered,
+    and a new piece goes to the tokenizer's model. Texts that spell a special token, and words beyond Latin, go
+    through the tokenizer as they are.
     """
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(PIECE)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-        latin, other = {}, []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if text.isascii() or max(text) < "ɐ":
-                latin[word] = self.split.findall(text.lower())
-            else:
-                other.append((word, text))
-        new = list({p for pieces in latin.values() for p in pieces if p not in self.pieces})
-        self.pieces.update(zip(new, self._ids(new), strict=True))
-        for word, pieces in latin.items():
-            self.words[word] = b"".join(map(self.pieces.__getitem__, pieces))
-        self.words.update(zip([w for w, _ in other], self._ids([t for _, t in other]), strict=True))
+        self.characters = _byte_characters()
+        self.words, self.pieces = _Known(self._word, WORDS_KEPT), _Known(self._piece, PIECES_KEPT)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else "".join([self.characters[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isascii() or max(text) < "\u0250":
+            return b"".join(map(self.pieces.__getitem__, self.split.findall(text.lower())))
+        return self._whole(text)
 
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids of one text."""
         text = text or b""
         if any(s in text for s in self.special):
-            return self._ids([text.decode("utf-8", "replace")])[0]
-        words = text.split()
-        new = set(words).difference(self.words)
-        if new:
-            self._learn(new)
-            new = set(words).difference(self.words)
-            if new:
-                self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+            return self._whole(text.decode("utf-8", "replace"))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def _encoder(spec: str) -> Encoder:
@@ -149,12 +162,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"), F.min("part_start").alias("_first"), F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
     earlier = Window.orderBy(F.asc_nulls_first("_least"), F.asc_nulls_first("_most"), "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select(F.col("file").alias("_file"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
-    return rows.join(bases, F.col("file") == F.col("_file")).select(
-        "doc_id",
-        (F.col("_base") + F.col("part_start")).alias("start"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        crc("ids").alias("ids_crc32"),
-    )
+    seen = rows.select("doc_id", "file", "part_start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    return seen.join(bases, F.col("file") == F.col("_file")).select("doc_id", (F.col("_base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def default_tokenizer() -> str:
