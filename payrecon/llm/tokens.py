@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 #: Words, and pieces of words, that one Python worker remembers from late and as many from before.
-WORDS_KEPT, PIECES_KEPT = 200_000, 200_000
+WORDS_KEPT, PIECES_KEPT = 350_000, 350_000
 #: The split of the tokenizer's file, with white space as Unicode has it; fixed values.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 ORC = {
