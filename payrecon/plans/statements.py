@@ -1,0 +1,47 @@
+"""The whole way of a delimited export: from files to cleaned, reconciled statements."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions import scalars as S
+from ..operators import canonical, delimited, reconcile, totals
+from ..sources import files as sources
+from ..sources.store import settled
+
+
+def read_exports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statements, cells) of delimited files (`stmt_id, filename, suffix, length, sha256, uploaded_at, content`).
+
+    statements: one row a file with `carrier, delimiter, columns, row_count, commission_column, exported_total`,
+    the verdict, `warnings` and `status_note` for files that could not be read. cells: the cleaned data rows.
+    """
+    routed = sources.route_by_suffix(files).filter("route = 'delimited'")
+    texts = routed.withColumn("text", sources.decoded("content")).drop("content")
+    texts = settled(texts.withColumn("delimiter", delimited.sniff_delimiter(F.col("text"))), "texts")
+    records, errors = sources.split_records(texts)
+    raw, warned = delimited.normalise_header(settled(records, "records"))
+    raw = settled(raw, "raw-cells")
+    plans = settled(delimited.resolve_percent_scale(raw, delimited.plan_columns(raw)), "plans")
+    clean = settled(delimited.drop_marker_rows(delimited.drop_blank_rows(delimited.apply_plans(raw, plans))), "clean-cells")
+    closed = settled(totals.split_labelled_total(clean), "closed")
+    last = closed.select("stmt_id", F.col("total_row").alias("row_no"))
+    cells = settled(clean.join(last, ["stmt_id", "row_no"], "left_anti"), "cells")
+    checks = reconcile.column_checks(cells, clean.join(last, ["stmt_id", "row_no"], "left_semi"))
+    lists = plans.groupBy("stmt_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "col_name"))), lambda x: x["col_name"]).alias("columns"))
+    base = texts.select("stmt_id", "filename", "suffix", "sha256", "uploaded_at", "delimiter", sources.carrier_label(F.col("filename"), "delimited export").alias("template"))
+    mapped = canonical.canonical_map(base.select("stmt_id", "template").join(lists, "stmt_id"))
+    exported = reconcile.exported_total(cells, mapped.select("stmt_id", F.col("mapping.`Commission Amount`").alias("commission_column")).filter("commission_column IS NOT NULL"))
+    counts = cells.groupBy("stmt_id").agg(F.count_distinct("row_no").alias("row_count"))
+    passed = checks.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("checks"), F.count_if("ok").alias("passed"))
+    payout = base.join(exported, "stmt_id", "left").join(counts, "stmt_id", "left").join(lists, "stmt_id", "left").join(passed, "stmt_id", "left")
+    payout = payout.withColumn("filename_total", S.filename_amount(F.col("filename")))
+    none = F.lit(None)
+    judged = reconcile.payout_verdict(payout.withColumn("statement_total", none.cast("double")).withColumn("statement_label", none.cast("string")))
+    notes = warned.unionByName(errors.select("stmt_id", F.concat(F.lit("CRASH: "), "error").alias("warning")))
+    notes = notes.groupBy("stmt_id").agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
+    out = judged.join(notes, "stmt_id", "left").withColumn("n_rows", F.coalesce("row_count", F.lit(0).cast("long")))
+    names = F.create_map(*[F.lit(x) for kv in config.DELIMITER_NAMES.items() for x in kv])
+    return settled(reconcile.verdict_warnings(out).withColumn("delimiter", F.try_element_at(names, F.col("delimiter"))).drop("row_count"), "statements"), cells
