@@ -1,0 +1,153 @@
+"""Token files, archives, personal data and the trained models: round trips, brute force, held-out accuracy."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from payrecon.llm import language, pii, tokens, toxicity, warc
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_tokens_round_trip(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    alphabet = "aAbéÉßİǅ'’ST́è \t\n\x0b\x0c\r\x1c\x85 .,!12³½中日ñΣς😀"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "<|endoftext|> x", "Hello " * 20_000]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(7, texts[7], 1), (None, "null id", 1)]
+    path = str(tmp_path / "t")
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(5), path, tokens.default_tokenizer())
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    want, start = [], 0
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_index(spark, path).collect()), key=lambda r: r[1])
+    assert got == want
+    one = tokens.read_tokens(spark, path, only=[5])
+    assert [r.doc_id for r in one.collect()] == [5]
+
+
+def test_warc_rejects_magic_in_payloads(spark, tmp_path):
+    fake = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
+    pages = [(0, "u", fake), (1, None, None), (2, "a b", "é" * 5000), (3, "u", fake), (4, "u", "WARC/1.1\r\n"), (5, "", ""), (6, "v", "z" * 200_000), (7, "w", "é" * 5000)]
+    pages += [(10 + i, "p", f"page {i} " * (i % 40)) for i in range(200)]
+    path = str(tmp_path / "w")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_warc(df.repartition(3), path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.page_id: r for r in warc.page_index(warc.index_warc(spark, path)).collect()}
+        blocks = warc.read_warc(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert set(got) == {p[0] for p in pages} and len(blocks) == len(pages)
+    first = {}
+    for i, _, html in sorted(pages):
+        first.setdefault(html or "", i)
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        r, lead = got[i], first[html or ""]
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if i == lead else ("revisit", lead))
+    assert any(bytes(b.block).endswith(fake.encode()) for b in blocks)
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = [c for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and pii.luhn("".join(digits))):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+
+
+def test_base_spans():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1@.-+ 2%3(4)5,678") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_personal_data(spark):
+    say = lambda i: f"word and mail a{i}@b{i}.org or +1 (743) 555-{1000 + i} at {i % 200}.2.3.4 id 12345{i:05d} rest"
+    docs = spark.createDataFrame([(i, say(i)) for i in range(300)] + [(400, None), (401, ""), (402, "a clean text of words")], "doc_id long, text string")
+    model = pii.train(docs)
+    found = {r.doc_id: r for r in pii.redact(pii.find_personal_data(docs, model)).collect()}
+    for i in range(300):
+        assert [tuple(s) for s in found[i].base_spans] == plain_spans(say(i))
+        assert {tuple(s) for s in found[i].base_spans} <= {tuple(s) for s in found[i].all_spans}
+    assert found[402].all_spans == [] and found[402].text == "a clean text of words" and found[400].text is None
+    assert found[3].text.startswith("word and mail [EMAIL] or [PHONE] at [IP] id ")
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, "123 ..."), (-3, "")], "doc_id long, text string")
+    said = language.with_language(docs.select("doc_id", "text").union(odd), language.train(docs))
+    got = {r.doc_id: r for r in said.collect()}
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (-1, -2, -3))
+    held = [(r.doc_id, r.lang) for r in docs.filter("lang IS NOT NULL").select("doc_id", "lang").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum(got[i].lang_pred == lang for i, lang in held) / len(held) > 0.95
+    assert language.train(docs.limit(0)) is None
+
+
+def test_toxicity_and_identity_terms(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    scored = toxicity.with_toxicity(docs, toxicity.train(docs, labels)).join(labels, "doc_id").collect()
+    held = [r for r in scored if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r.score >= 0.5) == bool(r.toxic) for r in held) / len(held) > 0.85
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(60)]
+    texts, marks = [], []
+    for i in range(400):
+        words = [rng.choice(vocab) for _ in range(12)]
+        toxic = i % 2
+        if toxic:
+            words[3] = "worthless"
+        if rng.random() < (0.6 if toxic else 0.05):
+            words[7] = "muslims"
+        texts.append(" ".join(words))
+        marks.append(toxic)
+    neutral = [" ".join([*(rng.choice(vocab) for _ in range(8)), "muslims"]) for _ in range(60)]
+    mean = lambda m: float(np.mean([m.score(t) for t in neutral]))
+    assert mean(toxicity.fit(texts, marks)) < mean(toxicity.fit(texts, marks, penalty=0.0))
+    assert toxicity.fit([], []) is None
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix", "token_ids"]
+    here = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, here, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        assert out.select("doc_id").distinct().count() <= here.select("doc_id").distinct().count()
+        here = out
+    made = corpus_pipeline.token_ids(spark, here, "/root/testdata/sf0.001")
+    assert made.count() == here.count()
+    with pytest.raises(Exception):
+        made.select(F.col("text")).collect()
