@@ -86,7 +86,10 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if text.isascii() or max(text) < "\u0250":
-            return b"".join(map(self.pieces.__getitem__, self.split.findall(text.lower())))
+            text = text.lower()
+            if text.isalpha():  # one run of letters is one piece
+                return self.pieces[text]
+            return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
         return self._whole(text)
 
     def ids(self, text: bytes | None) -> bytes:
@@ -125,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [encoder.ids(x.as_py()) + end for x in part.column(1)]
+                ids = [encoder.ids(x) + end for x in part.column(1).to_pylist()]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes)))
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
@@ -156,7 +159,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     @F.arrow_udf("long")
     def crc(lists: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in lists], pa.int64())
+        ids = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        return pa.array([zlib.crc32(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.int64())
 
     rows = read_tokens(spark, path)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"), F.min("part_start").alias("_first"), F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
