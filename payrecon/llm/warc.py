@@ -63,7 +63,8 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
     `_path, _file` (its hash), `_block` and `_seq` (their order within the file), `_bytes`: what follows a magic
     up to the next one or the end. Spark's text reader with the magic as line separator does the cutting; it
-    hands on bytes as they are. Reading the same files again gives the same rows.
+    hands on bytes as they are. Every scan gives the same `_path, _file, _bytes`; `_block` and `_seq` follow from
+    the splits, which Spark sizes by the cores of the moment, and are good within one scan only.
     """
     path_of = F.col("_metadata.file_path")
     return spark.read.option("lineSep", MAGIC).text(path).select(
@@ -95,13 +96,18 @@ def payload_facts(head: Column, block: Column) -> Column:
     return F.struct(F.octet_length(payload).cast("long").alias("bytes"), digest_of(payload).alias("digest"), F.when(is_http, _field(http, "Content-Length").cast("long")).alias("declared"))
 
 
+def _key_of(content: Column) -> Column:
+    """What a segment is found by in another scan, however that is split: the SHA-256 of its bytes."""
+    return F.unhex(F.sha2(content, 256))
+
+
 def candidates(cut: DataFrame) -> DataFrame:
-    """What each segment says of itself, stored: length, header, length of its block, and if the whole block is
-    in the segment the facts of its payload. Payloads stay where they are."""
+    """What each segment says of itself, stored: length, key, header, length of its block, and if the whole block
+    is in the segment the facts of its payload. Payloads stay where they are."""
     rows = _with_header(cut).withColumn("_len", F.octet_length("_bytes").cast("long"))
     rows = rows.withColumn("_whole", F.coalesce(F.col("_len") >= F.col("_from") - 1 + F.col("_size"), F.lit(False)))
     facts = F.when(F.col("_whole"), payload_facts(F.col("_head"), _block_of(rows)))
-    return stored(rows.select("_path", "_file", "_block", "_seq", "_len", F.when(F.col("_size").isNotNull(), F.col("_head")).alias("_head"), "_size", "_from", "_whole", facts.alias("_facts")), "warc-candidates")
+    return stored(rows.select("_path", "_file", "_block", "_seq", "_len", _key_of(F.col("_bytes")).alias("_key"), F.when(F.col("_size").isNotNull(), F.col("_head")).alias("_head"), "_size", "_from", "_whole", facts.alias("_facts")), "warc-candidates")
 
 
 def offsets(seen: DataFrame) -> DataFrame:
@@ -145,9 +151,18 @@ def records_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, stored(placed.filter("_start >= 0").select("_file", "_block", "_seq", "_at", "_start"), "warc-pieces")
 
 
+def _with_bytes(cut: DataFrame, places: DataFrame) -> DataFrame:
+    """places (with `_key`) with `_bytes`, from another scan than the one that found them: by content, so that its
+    splits are free to differ. Equal segments are the same bytes, and one of them serves all places."""
+    found = cut.select(_key_of(F.col("_bytes")).alias("_key"), "_bytes").join(places.select("_key").distinct(), "_key", "left_semi")
+    found = found.groupBy("_key").agg(F.first("_bytes").alias("_bytes"))
+    lost = F.raise_error(F.lit("archives changed between two scans")).cast("binary")
+    return places.join(found, "_key", "left").withColumn("_bytes", F.coalesce("_bytes", lost))
+
+
 def _together(cut: DataFrame, pieces: DataFrame) -> DataFrame:
     """`_file, _at, _bytes` of the records in several segments: the magic goes back between them."""
-    parts = cut.join(pieces, ["_file", "_block", "_seq"])
+    parts = _with_bytes(cut, pieces)
     rows = parts.groupBy("_file", "_start").agg(F.sort_array(F.collect_list(F.struct("_at", "_bytes"))).alias("_p"))
     first, rest = F.get("_p", F.lit(0))["_bytes"], F.slice("_p", 2, F.size("_p"))
     whole = F.aggregate(rest, first, lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["_bytes"]))
@@ -166,7 +181,8 @@ def index_warc(spark: SparkSession, path: str) -> DataFrame:
 
     At scale: archives are read in splits, and what is read of payloads (length and digest) is computed where
     they are read; offsets, pointers and chains are tables of numbers. Only records that hold the magic are put
-    together, in a second scan that Spark skips if there are none of them.
+    together, in a second scan that is skipped if there are none of them; it finds segments by their bytes' hash,
+    so that cores which come or go between the scans, and with them Spark's splits, change nothing.
     """
     cut = segments(spark, path)
     seen = candidates(cut)
@@ -175,7 +191,7 @@ def index_warc(spark: SparkSession, path: str) -> DataFrame:
     known = records.filter("_whole").select(*key, "_at").join(seen, key).select(F.col("_path").alias("file"), F.col("_at").alias("at"), F.col("_head").alias("head"), F.col("_size").alias("block_bytes"), F.col("_facts").alias("payload"))
     if pieces.isEmpty():
         return known
-    more = _with_header(_together(cut, pieces))
+    more = _with_header(_together(cut, pieces.join(seen.select(*key, "_key"), key)))
     more = more.join(records.filter("NOT _whole").select("_file", "_at", "_block", "_seq"), ["_file", "_at"]).join(seen.select(*key, "_path"), key)
     more = more.select(F.col("_path").alias("file"), F.col("_at").alias("at"), F.col("_head").alias("head"), F.col("_size").alias("block_bytes"), payload_facts(F.col("_head"), _block_of(more)).alias("payload"))
     return known.union(more)
@@ -184,10 +200,12 @@ def index_warc(spark: SparkSession, path: str) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """`at, head, block` of every record, found as in index_warc(), with the block's bytes."""
     cut = segments(spark, path)
-    records, pieces = records_of(candidates(cut))
+    seen = candidates(cut)
+    records, pieces = records_of(seen)
     key = ["_file", "_block", "_seq"]
-    one = cut.join(records.filter("_whole").select(*key, "_at"), key).select("_file", "_at", "_bytes")
-    rows = _with_header(one.union(_together(cut, pieces)))
+    keys = seen.select(*key, "_key")
+    one = _with_bytes(cut, records.filter("_whole").join(keys, key).select("_file", "_at", "_key")).select("_file", "_at", "_bytes")
+    rows = _with_header(one.union(_together(cut, pieces.join(keys, key))))
     return rows.select(F.col("_at").alias("at"), F.col("_head").alias("head"), _block_of(rows).alias("block"))
 
 

@@ -64,6 +64,27 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
     assert any(bytes(b.block).endswith(fake.encode()) for b in blocks)
 
 
+def test_warc_scans_may_be_split_differently(spark, tmp_path):
+    fake = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
+    pages = [(i, "u", f"page {i} " * (i % 50) + (fake * (1 + i % 3) + f"end {i}" if i % 4 == 0 else "")) for i in range(400)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+        index, blocks = warc.page_index(warc.index_warc(spark, path)), warc.read_warc(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")  # as if cores had come before the second scan
+        got = {r.page_id: r for r in index.collect()}
+        bodies = [bytes(b.block).split(b"\r\n\r\n", 1)[1] for b in blocks.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    raw = {i: html.encode() for i, _, html in pages}
+    full = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(b), full(b)) for i, b in raw.items()}
+    responses = [raw[i] for i, r in got.items() if r.record_type == "response"]
+    assert sorted(bodies) == sorted(responses + [b""] * (len(pages) - len(responses)))
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
