@@ -26,8 +26,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What the generators propose beyond the base: loose forms, which may overlap and may be wrong.
-_WIDE_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){0,6}", re.IGNORECASE)
-_WIDE_NUMBER = re.compile(r"[+(]?[0-9](?:[ ().+-]{0,2}[0-9])+")
+_WIDE_MAIL = re.compile(r"([A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|@) ?)[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){0,6}", re.IGNORECASE)
+_DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\]) ?", re.IGNORECASE)
+_WIDE_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[ ().+\[\]-]{0,3}[0-9])+")
+_GROUP = re.compile(r"[0-9]+")
+#: A number goes on behind a span, or began before it.
+_GOES_ON, _CAME_ON = re.compile(r"[ ().+\[\]-]{0,3}[0-9]"), re.compile(r"[0-9][ ().+\[\]-]{0,3}$")
+#: Digits of a proposed number; no span of groups is longer, which bounds the ends for a start.
+_PHONE_DIGITS, _CARD_DIGITS, _MOST_DIGITS = range(7, 21), range(12, 21), 20
 _NEAR = {
     "phone": ("tel", "phone", "call", "mobile", "fax", "contact"), "card": ("card", "visa", "credit", "payment"),
     "ip": ("ip", "host", "server", "address"), "email": ("mail", "write", "contact"), "not": ("token", "key", "id", "ref", "order", "isbn", "version", "no", "$"),
@@ -80,21 +86,40 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _numbers(text: str, start: int, end: int) -> Iterator[Span]:
+    """What a run of digit groups may hold: every span from the start of a group to the end of a group that has the
+    digits of a kind, so that neighbours swallowed by the run hide nothing. At most 20 ends a start."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    dotted = [False, *("." in text[a[1] : b[0]] for a, b in zip(groups, groups[1:]))]  # between a group and the one before
+    for i, (s, _) in enumerate(groups):
+        lead = s
+        while lead > start and s - lead < 2 and text[lead - 1] in "+(":
+            lead -= 1
+        n = 0
+        for j in range(i, len(groups)):
+            e = groups[j][1]
+            n += e - groups[j][0]
+            if n > _MOST_DIGITS:
+                break
+            if j == i + 3 and n <= 16 and all(dotted[i + 1 : j + 1]):
+                yield "ip", s, e
+            if n in _PHONE_DIGITS:
+                yield "phone", lead, e
+            if n in _CARD_DIGITS:
+                yield "card", s, e
+
+
 def candidates(text: str) -> list[Span]:
-    """All that may be personal data, one kind beside the other: many are not."""
-    out = set()
-    if "@" in text or "at)" in text or "at]" in text or "at}" in text:
-        out |= {("email", *m.span()) for m in _WIDE_MAIL.finditer(text)}
+    """All that may be personal data, overlapping and one kind beside the other: most are not."""
+    out: set[Span] = set()
+    low = text.lower()
+    if "@" in text or "at)" in low or "at]" in low or "at}" in low:
+        for m in _WIDE_MAIL.finditer(text):
+            out.add(("email", *m.span()))
+            out |= {("email", m.start(), d.start()) for d in list(_DOT.finditer(text, m.end(1), m.end()))[1:]}
     for m in _WIDE_NUMBER.finditer(text):
-        if m.end() - m.start() < 7:
-            continue
-        n = len(_digits(m[0]))
-        if m[0].count(".") >= 3 and n <= 16:
-            out.add(("ip", *m.span()))
-        if 7 <= n <= 20:
-            out.add(("phone", *m.span()))
-        if 12 <= n <= 20:
-            out.add(("card", *m.span()))
+        if m.end() - m.start() >= 7:
+            out.update(_numbers(text, *m.span()))
     return sorted(out)
 
 
@@ -108,34 +133,55 @@ def features(text: str, span: Span) -> list[float]:
     left, right = (before[-1:] or " "), (after[:1] or " ")
     return [
         *(float(kind == k) for k in KINDS), float(len(body)), float(len(digits)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
-        float(body[:1] == "+"), float("(" in body), float(body.count(".")), float(body.count("-") + body.count(" ")), float("@" in body or "at)" in body.lower() or "at]" in body.lower()),
+        float(body[:1] == "+"), float("(" in body), float(body.count(".")), float(body.count("-") + body.count(" ")), float("@" in body or any(x in body.lower() for x in ("at)", "at]", "at}"))),
         float(luhn(digits) if digits else 0), float(len(octets) == 4 and all(octets)), float(sum(c.isalpha() for c in body)),
+        float(bool(_GOES_ON.match(after))), float(bool(_CAME_ON.search(before))), float(after[:1] == "." and after[1:2].isalnum()),
         float(left.isalnum()), float(right.isalnum()), float(left in "\"'=_#"), float(right in "\"'_%"),
         *(float(any(w in before for w in words)) for words in _NEAR.values()),
     ]
 
 
-def _disguised(text: str, span: Span) -> tuple[str, Span] | None:
-    """A known span written as people hide or shorten it, in its context; None for kinds that have no such form."""
+_LETTERS = str.maketrans("0123456789", "abdehiklno")
+
+
+def _overlap(a: Span, b: Span) -> bool:
+    return a[1] < b[2] and b[1] < a[2]
+
+
+def _disguised(text: str, span: Span) -> Iterator[tuple[str, Span]]:
+    """A known span written as people hide or shorten it, or with a number behind it that the rules take for a part
+    of it; each in its context, and only what the rules then do not find."""
     kind, s, e = span
-    body = text[s:e]
+    body, pick = text[s:e], zlib.crc32(text[s:e].encode("utf-8", "surrogatepass"))
     if kind == "email":
-        new = body.replace("@", " (at) ", 1)
+        mark, plain = (" (at) ", " [AT] ", "(At)", "{at}")[pick % 4], body.translate(_LETTERS)
+        name, host = plain.split("@", 1)
+        forms = [(body.replace("@", mark, 1), ""), (name + mark + ".".join(host.split(".")[-2:]), "")]
     elif kind == "phone":
-        new = re.sub(r"^\+[0-9]{1,3}[ -]", "", body)
+        forms = [(re.sub(r"^\+[0-9]{1,3}[ -]", "", body), ""), (body, (" 2024-01-02", " 31.12.2023", " 1200 1300")[pick % 3])]
+    elif kind == "card":
+        tail, fours = (" 2024", " 123", " 12-27", " 0427 911")[pick % 4], re.findall("[0-9]{1,4}", _digits(body))
+        forms = [(body, tail), ((" ", "-")[pick // 4 % 2].join(fours), tail), ((".", "  ")[pick // 8 % 2].join(fours), "")]
     else:
-        return None
+        forms = [(body.replace(".", ("[.]", " . ", "(.)")[pick % 3]), ""), (f"{300 + pick % 600}.{body}", "")]
     near, rest = text[max(0, s - 40) : s], text[e : e + 40]
-    return (near + new + rest, (kind, len(near), len(near) + len(new))) if new != body else None
+    for new, tail in forms:
+        if new + tail == body:
+            continue
+        whole = near + new + tail + rest
+        made = (kind, len(near) + (new.index(body) if kind == "ip" and body in new else 0), len(near) + len(new))
+        if not any(_overlap(made, k) for k in base_spans(whole)):
+            yield whole, made
 
 
 def labelled(text: str) -> list[tuple[list[float], int]]:
-    """Candidates of one text as examples: base spans are right, also disguised; what no rule confirms is wrong."""
+    """Candidates of one text as examples: base spans are right, also disguised; what no rule confirms is wrong, and
+    so are the other spans that overlap a disguised one."""
     known = base_spans(text)
-    out = [(features(text, c), int(c in known)) for c in candidates(text) if c in known or not any(c[1] < k[2] and k[1] < c[2] for k in known)]
+    out = [(features(text, c), int(c in known)) for c in candidates(text) if c in known or not any(_overlap(c, k) for k in known)]
     for span in known:
-        if (made := _disguised(text, span)) and made[1] in candidates(made[0]):
-            out.append((features(*made), 1))
+        for whole, made in _disguised(text, span):
+            out += [(features(whole, c), int(c == made)) for c in candidates(whole) if _overlap(c, made)]
     return out
 
 
@@ -151,9 +197,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: in
 
     few = docs.filter(F.col(text_col).isNotNull() & (hash_share(id_col, 5) < min(1.0, sample_docs / n))).select(text_col)
     rows = few.mapInArrow(of, "x array<double>, y int").limit(sample_candidates).collect()
-    if len({r.y for r in rows}) < 2:
+    return fit([(r.x, r.y) for r in rows])
+
+
+def fit(examples: list[tuple[list[float], int]]) -> Boosted | None:
+    """Trees and threshold from examples, of which a fifth, by hash, calibrates; None if they do not tell apart."""
+    if len({y for _, y in examples}) < 2:
         return None
-    rows = sorted((tuple(r.x), r.y) for r in rows)
+    rows = sorted((tuple(x), y) for x, y in examples)
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     held = np.array([zlib.crc32(row.tobytes() + bytes([i % 251])) % 5 == 0 for i, row in enumerate(x)])
     if held.all() or len(set(y[~held])) < 2 or not held.any():

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,26 @@ def test_personal_data(spark):
     assert found[3].text.startswith("word and mail [EMAIL] or [PHONE] at [IP] id ")
 
 
+PLANTED = [
+    ("card", "pay by card ", "4111 1111 1111 1111", " 2024 now"), ("card", "my card is ", "5500-0000-0000-0004", " 123 thanks"),
+    ("phone", "call ", "+1 (743) 555-1000", " 2024-01-02 or so"), ("ip", "the host ", "10[.]2[.]3[.]4", " is up"),
+    ("ip", "server 999.", "10.20.30.40", " is down"), ("email", "write to ", "joe [AT] acme.org", " today"),
+]
+
+
+def test_spans_that_no_rule_finds():
+    for kind, before, body, after in PLANTED:
+        text, span = before + body + after, (kind, len(before), len(before) + len(body))
+        assert span in pii.candidates(text) and span not in pii.base_spans(text)
+    three = "+1 743 555 1000 +1 743 555 1001 +1 743 555 1002"
+    assert {("phone", i, i + 15) for i in (0, 16, 32)} <= set(pii.candidates(three))
+    assert len(pii.candidates("1 " * 20_000)) < 20_000 * 40
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()[:2500]
+    model = pii.fit([x for text in docs for x in pii.labelled(text or "")])
+    for kind, before, body, after in PLANTED:
+        assert (kind, len(before), len(before) + len(body)) in pii.spans_of(before + body + after, model)[1], body
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, "123 ..."), (-3, "")], "doc_id long, text string")
