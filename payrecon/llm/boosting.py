@@ -90,9 +90,17 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float) ->
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
         a, b = a - 0.5 * float(((p - goal) * s).mean()) / max(1.0, float((s * s).mean())), b - 0.5 * float((p - goal).mean())
     model.scale = (max(a, 1e-3), b)
-    p = model.probability(x)
+    model.threshold = least_threshold(model.probability(x), y, precision)
+
+
+def least_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The least probability, 0.5 at least, from which on `precision` of the rows are right; 2 if there is none. It is
+    half way from the last row that counts to the next one."""
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.append(p[order][1:] != p[order][:-1], True)
     good = np.flatnonzero((right >= precision) & last)
-    model.threshold = max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
+    if not len(good):
+        return 2.0
+    ranked = np.append(p[order], 0.0)
+    return max(0.5, float(ranked[good[-1]] + ranked[good[-1] + 1]) / 2)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .boosting import Boosted, boost, calibrate
+from .boosting import Boosted, boost, calibrate, least_threshold
 from .common import Shipped, hash_share, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,6 +41,18 @@ _NEAR = {
 }
 
 Span = tuple[str, int, int]
+#: Features; right or not; whether the model is asked about such a span (base spans stand without it); held out.
+Example = tuple[list[float], int, int, int]
+
+
+@dataclass
+class Judge:
+    """Trees with a threshold for each kind, and how that did: `held[kind]` is held-out examples that the model is
+    asked about, those over the threshold, and the right ones of these."""
+
+    trees: Boosted
+    thresholds: dict[str, float]
+    held: dict[str, tuple[int, int, int]]
 
 
 def luhn(digits: str) -> bool:
@@ -174,59 +187,69 @@ def _disguised(text: str, span: Span) -> Iterator[tuple[str, Span]]:
             yield whole, made
 
 
-def labelled(text: str) -> list[tuple[list[float], int]]:
+def labelled(text: str) -> list[Example]:
     """Candidates of one text as examples: base spans are right, also disguised; what no rule confirms is wrong, and
-    so are the other spans that overlap a disguised one."""
-    known = base_spans(text)
-    out = [(features(text, c), int(c in known)) for c in candidates(text) if c in known or not any(_overlap(c, k) for k in known)]
+    so are the other spans that overlap a disguised one. What would be a phone for the rules if it stood alone, but
+    has a number behind it, is unknown, and no example. A fifth of the texts, by hash, is held out."""
+    known, held = base_spans(text), int(zlib.crc32(text.encode("utf-8", "surrogatepass")) % 5 == 0)
+    alone = lambda c: c[0] == "phone" and text[c[1]] == "+" and ("phone", 0, c[2] - c[1]) in base_spans(text[c[1] : c[2]])
+    out = [(features(text, c), int(c in known), int(c not in known), held) for c in candidates(text) if c in known or not (any(_overlap(c, k) for k in known) or alone(c))]
     for span in known:
         for whole, made in _disguised(text, span):
-            out += [(features(whole, c), int(c == made)) for c in candidates(whole) if _overlap(c, made)]
+            out += [(features(whole, c), int(c == made), 1, held) for c in candidates(whole) if _overlap(c, made)]
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> Boosted | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> Judge | None:
     """Trees and threshold from the candidates of up to some `sample_docs` documents, of which the driver gets
-    `sample_candidates` rows of numbers at most. A fifth of them, by hash, calibrates."""
+    `sample_candidates` rows of numbers at most; see fit()."""
     n = max(1, docs.count())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x, y) for text in batch.column(0).to_pylist() for x, y in labelled(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], ["x", "y"])
+            rows = [x for text in batch.column(0).to_pylist() for x in labelled(text)]
+            numbers = [pa.array([x[i] for x in rows], pa.int32()) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.list_(pa.float64())), *numbers], ["x", "y", "asked", "held"])
 
     few = docs.filter(F.col(text_col).isNotNull() & (hash_share(id_col, 5) < min(1.0, sample_docs / n))).select(text_col)
-    rows = few.mapInArrow(of, "x array<double>, y int").limit(sample_candidates).collect()
-    return fit([(r.x, r.y) for r in rows])
-
-
-def fit(examples: list[tuple[list[float], int]]) -> Boosted | None:
-    """Trees and threshold from examples, of which a fifth, by hash, calibrates; None if they do not tell apart."""
-    if len({y for _, y in examples}) < 2:
-        return None
-    rows = sorted((tuple(x), y) for x, y in examples)
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    held = np.array([zlib.crc32(row.tobytes() + bytes([i % 251])) % 5 == 0 for i, row in enumerate(x)])
-    if held.all() or len(set(y[~held])) < 2 or not held.any():
+    rows = few.mapInArrow(of, "x array<double>, y int, asked int, held int").limit(sample_candidates).collect()
+    return fit([tuple(r) for r in rows])
+
+
+def fit(examples: list[Example]) -> Judge | None:
+    """Trees from the texts that are not held out. Those that are, less base spans, give each kind the least
+    threshold with PRECISION, so that easy spans that are never asked about cannot fill it; a kind without such
+    examples adds nothing. None if nothing can be told apart."""
+    rows = sorted((tuple(x), y, asked, held) for x, y, asked, held in examples)
+    x, y, asked, held = (np.array([r[i] for r in rows]) for i in range(4))
+    learns, judges = held == 0, (held == 1) & (asked == 1)
+    if len(set(y[learns])) < 2 or not judges.any():
         return None
-    model = boost(x[~held], y[~held])
-    calibrate(model, x[held], y[held], PRECISION)
-    return model
-
-
-def spans_of(text: str, model: Boosted | None) -> tuple[list[Span], list[Span]]:
+    model = boost(x[learns], y[learns])
+    calibrate(model, x[judges], y[judges], PRECISION)
+    thresholds, done = {}, {}
+    for i, kind in enumerate(KINDS):
+        of = judges & (x[:, i] == 1)
+        p = model.probability(x[of])
+        thresholds[kind] = least_threshold(p, y[of], PRECISION) if of.any() else 2.0
+        over = p >= thresholds[kind]
+        done[kind] = (int(of.sum()), int(over.sum()), int(y[of][over].sum()))
+    return Judge(model, thresholds, done)
+
+
+def spans_of(text: str, model: Judge | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): candidates over the threshold that touch no other span are added, surest first."""
     base = base_spans(text)
-    if model is None or model.threshold > 1:
+    if model is None:
         return base, base
     offered = [c for c in candidates(text) if not any(c[1] < b[2] and b[1] < c[2] for b in base)]
     if not offered:
         return base, base
-    p = model.probability(np.array([features(text, c) for c in offered]))
+    p = model.trees.probability(np.array([features(text, c) for c in offered]))
     chosen = list(base)
     for i in np.argsort(-p, kind="stable"):
         c = offered[i]
-        if p[i] >= model.threshold and not any(c[1] < b[2] and b[1] < c[2] for b in chosen):
+        if p[i] >= model.thresholds[c[0]] and not any(c[1] < b[2] and b[1] < c[2] for b in chosen):
             chosen.append(c)
     return base, sorted(chosen, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -234,7 +257,7 @@ def spans_of(text: str, model: Boosted | None) -> tuple[list[Span], list[Span]]:
 _SPANS = "array<struct<kind: string, start: int, end: int>>"
 
 
-def find_personal_data(docs: DataFrame, model: Boosted | None, text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, model: Judge | None, text_col: str = "text") -> DataFrame:
     """docs with `base_spans` and `all_spans`, arrays of kind, start and end (code points, end exclusive).
 
     Defined cases: null and empty texts have no spans; repeated rows have the same; without examples to learn

@@ -142,10 +142,22 @@ def test_spans_that_no_rule_finds():
     assert len(pii.candidates("1 " * 20_000)) < 20_000 * 40
     docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()[:2500]
     model = pii.fit([x for text in docs for x in pii.labelled(text or "")])
+    assert all(chosen and right / chosen >= pii.PRECISION for _, chosen, right in model.held.values())
     for kind, before, body, after in PLANTED:
         assert (kind, len(before), len(before) + len(body)) in pii.spans_of(before + body + after, model)[1], body
 
 
+def test_thresholds_come_from_what_the_model_decides():
+    rng = random.Random(6)
+    row = lambda kind, hint: [*(float(kind == k) for k in pii.KINDS), float(hint)]
+    rows = [(row("card", 1), 1, 0, i % 2) for i in range(4000)]  # base spans: easy, and never asked about
+    rows += [(row("card", 1), int(rng.random() < 0.5), 1, i % 2) for i in range(60)]  # the model cannot tell these
+    rows += [(row("ip", i % 2), i % 2, 1, i // 2 % 2) for i in range(200)]
+    judge = pii.fit(rows)
+    assert judge.thresholds["card"] > 1 and judge.held["card"][1:] == (0, 0)
+    assert judge.held["ip"] == (100, 50, 50)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, "123 ..."), (-3, "")], "doc_id long, text string")
