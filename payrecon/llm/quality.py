@@ -126,8 +126,8 @@ def quality_filter(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS,
     """Measures of every document and `kept`: whether it passes all rules, tried in the cascade's order.
 
     The order is estimated on a sample and only moves time about: a document is kept if and only if no rule
-    fails, in any order. The measures are plain columns: a caller that selects `doc_id, kept` alone has Spark
-    compute, per document, what the cascade still needs.
+    fails, in any order. The measures are plain columns, which a caller that selects them has computed for every
+    document; the cascade then skips comparisons only.
 
     Defined cases: null and empty texts have no words and fail `too_short`; repeated rows, null ids and ties
     are judged row by row; an empty table gives an empty table; other columns are not read.
