@@ -41,16 +41,14 @@ class Words:
     Hashes come from prefix sums of a polynomial modulo 2^64, so that a text costs a few passes over its bytes.
     """
 
-    _known = (_powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16))
+    _known = (_powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16))  # longer texts make their own, and leave nothing
 
     def __init__(self, text: bytes | None) -> None:
         self.raw = (text or b"").translate(_TABLE)
         chars = np.frombuffer(self.raw, dtype=np.uint8)
         edge = np.diff(np.concatenate(([0], (chars != 32).view(np.int8), [0])))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(chars) > len(Words._known[0]):
-            Words._known = (_powers(_BASE, 2 * len(chars)), _powers(_INVERSE, 2 * len(chars)))
-        powers, inverses = Words._known
+        powers, inverses = Words._known if len(chars) <= 1 << 16 else (_powers(_BASE, len(chars)), _powers(_INVERSE, len(chars)))
         sums = np.zeros(len(chars) + 1, dtype=np.uint64)
         np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[: len(chars)], out=sums[1:])
         self.hashes = _mixed((sums[self.end] - sums[self.start]) * inverses[self.start])

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-import struct
+import json
 import sys
 import types
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-#: Words, and pieces of words, that one Python worker remembers from late and as many from before.
-WORDS_KEPT, PIECES_KEPT = 350_000, 350_000
+#: What one Python worker remembers of words and their ids, in bytes; and the text that is encoded at a time.
+KEPT_BYTES, AT_ONCE = 16 << 20, 8 << 20
+#: Longer words are encoded each time; with each portion of text the worth of a word that was not seen fades.
+LONGEST_KEPT, FADES = 64, np.float32(0.97)
 #: The split of the tokenizer's file, with white space as Unicode has it; fixed values.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: The normaliser and the split of files whose texts may be encoded word by word; fixed values.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 ORC = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -31,37 +45,28 @@ ORC = {
 }
 
 
-class _Known(dict):
-    """What `make` gave for each key. When it is full it becomes the old part, and the older one is forgotten."""
-
-    def __init__(self, make: Callable, most: int) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 def _byte_characters() -> list[str]:
     """The character that byte-level vocabularies write for each byte: itself if it prints, else one from 256 up."""
     prints = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
     return [chr(b) if prints[b] else chr(256 + b - sum(prints[:b])) for b in range(256)]
 
 
-class Encoder:
-    """Tokenizer.encode(text, add_special_tokens=False), with what it gave for each word remembered.
+_IDS = pa.list_(pa.int32())
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    return pa.array(ids, _IDS)
 
-    White space ends every piece of this tokenizer's split, so the ids of a text are those of its words in a
-    row. Latin words are further cut by the same split, so that case and punctuation share what is remembered,
-    and a new piece goes to the tokenizer's model. Texts that spell a special token, and words beyond Latin, go
-    through the tokenizer as they are.
+
+class Encoder:
+    """Tokenizer.encode(text, add_special_tokens=False) of many texts at a time.
+
+    Where the file's normaliser and split are BY_WORDS, white space ends every piece, so the ids of a text are
+    those of its words in a row: the words of some texts are told apart by Arrow, each different one is encoded
+    once, and the ids are taken together by number. Words that come often are remembered in flat arrays of
+    KEPT_BYTES at most. Latin words are cut by the same split, and their pieces go to the tokenizer's model;
+    texts that spell a special token, words beyond Latin, and texts of any other tokenizer go through the
+    tokenizer as they are.
     """
 
     def __init__(self, spec: str) -> None:
@@ -70,34 +75,90 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(spec)
+        self.by_words = all(parts.get(k) == v for k, v in BY_WORDS.items())
         self.split = regex.compile(PIECE)
         self.characters = _byte_characters()
-        self.words, self.pieces = _Known(self._word, WORDS_KEPT), _Known(self._piece, PIECES_KEPT)
+        self.words, self.ids, self.worth = pa.array([], pa.string()), pa.array([], _IDS), np.zeros(0, dtype=np.float32)
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[int]:
         shown = piece if piece.isascii() and piece.isprintable() else "".join([self.characters[b] for b in piece.encode()])
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if text.isascii() or max(text) < "\u0250":
-            text = text.lower()
-            if text.isalpha():  # one run of letters is one piece
-                return self.pieces[text]
-            return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
-        return self._whole(text)
-
-    def ids(self, text: bytes | None) -> bytes:
-        """Little-endian 32-bit ids of one text."""
-        text = text or b""
-        if any(s in text for s in self.special):
-            return self._whole(text.decode("utf-8", "replace"))
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _encoded(self, words: list[bytes]) -> pa.ListArray:
+        """The ids of words, each of them new; pieces that several words share are encoded once."""
+        pieces: dict[str, list[int]] = {}
+        out = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if not text.isascii() and max(text) >= "\u0250":
+                out += self._whole([text])
+                continue
+            text, ids = text.lower(), []
+            for piece in (text,) if text.isalpha() else self.split.findall(text):  # a run of letters is one piece
+                got = pieces.get(piece)
+                if got is None:
+                    got = pieces[piece] = self._piece(piece)
+                ids += got
+            out.append(ids)
+        return _lists(out)
+
+    def _known(self, words: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
+        """(ids, place): `ids[place[i]]` are those of words[i]. Words seen in many
+        portions of text, late ones above all, are remembered."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        all_words = pa.concat_arrays([self.words, new])
+        all_ids = pa.concat_arrays([self.ids, self._encoded(new.cast(pa.binary()).to_pylist())])
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = np.arange(len(self.words), len(all_words))
+        size = pc.binary_length(all_words).to_numpy(zero_copy_only=False)
+        worth = np.concatenate((self.worth * FADES, np.zeros(len(new), dtype=np.float32)))
+        worth[place] += 1
+        order = np.argsort(-worth, kind="stable")
+        order = order[size[order] <= LONGEST_KEPT]
+        bytes_of = size + 4 * all_ids.value_lengths().to_numpy(zero_copy_only=False) + 12
+        order = order[np.cumsum(bytes_of[order]) <= KEPT_BYTES]
+        self.words, self.ids, self.worth = all_words.take(pa.array(order)), all_ids.take(pa.array(order)), worth[order]
+        return all_ids, place
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of texts (binary, UTF-8), each with `end_id` behind it; a null is an empty text."""
+        if not self.by_words or self._special(texts):
+            lists = _lists([[*ids, end_id] for ids in self._whole([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()])])
+            return lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        texts = pc.fill_null(texts, b"")
+        plain = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)  # bytes as they are
+        words = pc.ascii_split_whitespace(plain)
+        ends = np.cumsum(words.value_lengths().to_numpy())
+        numbered = words.flatten().dictionary_encode()
+        ids, place = self._known(numbered.dictionary)
+        last = pa.concat_arrays([ids, _lists([[end_id]])])
+        at = np.insert(place[numbered.indices.to_numpy()], ends, len(ids))  # the end stands behind the last word
+        taken = last.take(pa.array(at))
+        before = np.concatenate(([0], np.cumsum(taken.value_lengths().to_numpy())))
+        return taken.flatten().to_numpy(), np.diff(before[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))])
+
+    def _special(self, texts: pa.Array) -> bool:
+        return any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special)
+
+    def portions(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """(from, to) of rows that are encoded together: AT_ONCE bytes or one row; texts with a special token alone."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        alone = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            alone |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i in range(len(texts)):
+            if i > start and (held + size[i] > AT_ONCE or alone[i] or alone[i - 1]):
+                yield start, i
+                start, held = i, 0
+            held += size[i]
+        if start < len(texts):
+            yield start, len(texts)
 
 
 def _encoder(spec: str) -> Encoder:
@@ -121,18 +182,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     task writes its range, so files are in id order.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(spec.value), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [encoder.ids(x) + end for x in part.column(1).to_pylist()]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for a, b in encoder.portions(batch.column(1)):
+                part = batch.slice(a, b - a)
+                ids, sizes = encoder.encode(part.column(1), end_id)
                 offsets = np.concatenate(([0], np.cumsum(sizes)))
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 starts = pa.array(before + offsets[:-1], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), starts, lists], ["doc_id", "n_tokens", "part_start", "ids"])
                 before += int(offsets[-1])

@@ -39,6 +39,26 @@ def test_tokens_round_trip(spark, tmp_path):
     assert [r.doc_id for r in one.collect()] == [5]
 
 
+def test_tokens_of_any_tokenizer_and_any_portion(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["", None, "A <|endoftext|> b", " x\n" * 50, "w" * 300 + " End", "日本 " * 9] + [" ".join(rng.choice(("The", "theé", "'s", "x1,", "Ünd")) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    monkeypatch.setattr(tokens, "AT_ONCE", 200)
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 100)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        spec = public_tokenizers.path(name)
+        plain, encoder = Tokenizer.from_file(spec), tokens.Encoder(open(spec, encoding="utf-8").read())
+        assert encoder.by_words == (name == "word_bpe_49k.json")
+        raw = tokens.pa.array([None if t is None else t.encode() for t in ["cut off", *texts]], tokens.pa.binary()).slice(1)
+        got = [x for a, b in encoder.portions(raw) for x in np.split(*(lambda ids, n: (ids, np.cumsum(n)[:-1]))(*encoder.encode(raw.slice(a, b - a), 7)))]
+        assert [x.tolist() for x in got] == [[*plain.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    none = spark.createDataFrame([], "doc_id long, text string")
+    tokens.write_tokens(none, str(tmp_path / "none"), tokens.default_tokenizer())
+    assert tokens.token_index(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_warc_rejects_magic_in_payloads(spark, tmp_path):
     fake = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
     pages = [(0, "u", fake), (1, None, None), (2, "a b", "é" * 5000), (3, "u", fake), (4, "u", "WARC/1.1\r\n"), (5, "", ""), (6, "v", "z" * 200_000), (7, "w", "é" * 5000)]
