@@ -44,6 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *dfs: DataFrame) -> str:
+    """`name`, with as many underscores in front as make it none of the tables' columns."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_of_id(id_col: str) -> Column:
     """crc32 of the id as text, which fixes the learning and the held-out rows."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 
 WINDOW = 13
 GRAM = 5
@@ -232,9 +232,10 @@ def is_contaminated() -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that is_contaminated() holds for, with the same columns; see contamination()."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).filter(is_contaminated()).select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"))
-    here = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
+    th = unused("_th", docs)
+    here = docs.withColumn(th, F.xxhash64(F.col(text_col)))
     bad = stored(bad.distinct(), "contaminated")
-    return here.join(bad, here[id_col].eqNullSafe(bad["_id2"]) & (here["_th"] == bad["_th2"]), "left_anti").select(*docs.columns)
+    return here.join(bad, here[id_col].eqNullSafe(bad["_id2"]) & (here[th] == bad["_th2"]), "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shipped, crc_of_id, hash_share, table
+from .common import Shipped, crc_of_id, hash_share, table, unused
 
 #: The bounded sample that the model is fitted on, and how many of its texts are landmarks.
 PER_LANGUAGE, LANDMARKS = 400, 160
@@ -152,9 +152,9 @@ def with_language(docs: DataFrame, model: KernelModel | None, text_col: str = "t
                     names[at + i], scores[at + i] = fitted.languages[best], float(p[best])
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    kept = [c for c in docs.columns if c not in (*out, "_said")]
-    said = docs.select(*kept).withColumn("_said", of(F.col(text_col)))
-    return said.select(*kept, F.col("_said.lang").alias(out[0]), F.col("_said.score").alias(out[1]))
+    kept, said = [c for c in docs.columns if c not in out], unused("_said", docs)
+    told = docs.withColumn(said, of(F.col(text_col)))
+    return told.select(*kept, F.col(f"{said}.lang").alias(out[0]), F.col(f"{said}.score").alias(out[1]))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost, calibrate, least_threshold
-from .common import Shipped, hash_share, table
+from .common import Shipped, hash_share, table, unused
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: The bounded sample that the trees are fitted on: documents looked at, and candidates kept.
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 6000, 20_000
 PRECISION = 0.98
@@ -30,12 +34,17 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE_MAIL = re.compile(r"([A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|@) ?)[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){0,6}", re.IGNORECASE)
 _DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\]) ?", re.IGNORECASE)
 _WIDE_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[ ().+\[\]-]{0,3}[0-9])+")
-_GROUP = re.compile(r"[0-9]+")
+_GROUP, _WORDY = re.compile(r"[0-9]+"), re.compile(r"[a-z$]")
 #: A number goes on behind a span, or began before it.
 _GOES_ON, _CAME_ON = re.compile(r"[ ().+\[\]-]{0,3}[0-9]"), re.compile(r"[0-9][ ().+\[\]-]{0,3}$")
+#: Keys and passwords: a long run of letters and digits, or what is assigned to a word for a secret.
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,200}+")
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer|credential)s?[\"']?\s{0,2}(?:[:=]|\bis\b)\s{0,2}[\"']?([^\s\"',;]{6,200})")
+_HINTS = ("token", "secret", "pass", "pwd", "key", "bearer", "credential")
 #: Digits of a proposed number; no span of groups is longer, which bounds the ends for a start.
 _PHONE_DIGITS, _CARD_DIGITS, _MOST_DIGITS = range(7, 21), range(12, 21), 20
 _NEAR = {
+    "secret": _HINTS, "hash": ("sha", "md5", "commit", "checksum", "etag", "digest", "revision"),
     "phone": ("tel", "phone", "call", "mobile", "fax", "contact"), "card": ("card", "visa", "credit", "payment"),
     "ip": ("ip", "host", "server", "address"), "email": ("mail", "write", "contact"), "not": ("token", "key", "id", "ref", "order", "isbn", "version", "no", "$"),
 }
@@ -55,12 +64,13 @@ class Judge:
     held: dict[str, tuple[int, int, int]]
 
 
+#: A digit taken twice, less nine where that has two digits.
+_DOUBLED = str.maketrans("0123456789", "0246813579")
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        n = ord(d) - 48
-        total += n if i % 2 == 0 else n * 2 - 9 * (n > 4)
-    return total % 10 == 0
+    doubled = digits[-2::-2].translate(_DOUBLED)
+    return (sum(map(int, digits[-1::-2])) + sum(map(int, doubled))) % 10 == 0
 
 
 def _digits(s: str) -> str:
@@ -101,24 +111,27 @@ def base_spans(text: str) -> list[Span]:
 
 def _numbers(text: str, start: int, end: int) -> Iterator[Span]:
     """What a run of digit groups may hold: every span from the start of a group to the end of a group that has the
-    digits of a kind, so that neighbours swallowed by the run hide nothing. At most 20 ends a start."""
+    digits of a kind, so that neighbours swallowed by the run hide nothing. At most 20 ends a start. What cannot be
+    of the kind is not proposed: cards with a wrong check digit, and more than one digit alone behind the first group."""
     groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    single = [e - s == 1 for s, e in groups]
     dotted = [False, *("." in text[a[1] : b[0]] for a, b in zip(groups, groups[1:]))]  # between a group and the one before
     for i, (s, _) in enumerate(groups):
+        if i + 3 < len(groups) and all(dotted[i + 1 : i + 4]) and sum(b - a for a, b in groups[i : i + 4]) <= 16:
+            yield "ip", s, groups[i + 3][1]
         lead = s
         while lead > start and s - lead < 2 and text[lead - 1] in "+(":
             lead -= 1
-        n = 0
+        n, alone = 0, 0
         for j in range(i, len(groups)):
             e = groups[j][1]
             n += e - groups[j][0]
-            if n > _MOST_DIGITS:
+            alone += single[j] and j > i
+            if n > _MOST_DIGITS or alone > 1:
                 break
-            if j == i + 3 and n <= 16 and all(dotted[i + 1 : j + 1]):
-                yield "ip", s, e
             if n in _PHONE_DIGITS:
                 yield "phone", lead, e
-            if n in _CARD_DIGITS:
+            if n in _CARD_DIGITS and luhn(_digits(text[s:e])):
                 yield "card", s, e
 
 
@@ -133,24 +146,31 @@ def candidates(text: str) -> list[Span]:
     for m in _WIDE_NUMBER.finditer(text):
         if m.end() - m.start() >= 7:
             out.update(_numbers(text, *m.span()))
+    out.update(("secret", *m.span()) for m in _RUN.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]))
+    if any(h in low for h in _HINTS):
+        out.update(("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if any(c.isdigit() for c in m[1]))
     return sorted(out)
 
 
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a candidate as numbers."""
     kind, s, e = span
-    body, digits = text[s:e], _digits(text[s:e])
+    body = text[s:e]
     before, after = text[max(0, s - 24) : s].lower(), text[e : e + 12].lower()
-    groups = [len(x) for x in re.split(r"[^0-9]+", body) if x]
-    octets = [int(x) <= 255 for x in re.split(r"[^0-9]+", body) if x and len(x) < 9]
+    parts = _GROUP.findall(body)
+    digits, groups = "".join(parts), [len(x) for x in parts]
+    octets = [int(x) <= 255 for x in parts if len(x) < 9]
     left, right = (before[-1:] or " "), (after[:1] or " ")
+    secret = kind == "secret"
+    spread = -sum(n / len(body) * math.log2(n / len(body)) for n in Counter(body).values()) if secret else 0.0
     return [
         *(float(kind == k) for k in KINDS), float(len(body)), float(len(digits)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
         float(body[:1] == "+"), float("(" in body), float(body.count(".")), float(body.count("-") + body.count(" ")), float("@" in body or any(x in body.lower() for x in ("at)", "at]", "at}"))),
         float(luhn(digits) if digits else 0), float(len(octets) == 4 and all(octets)), float(sum(c.isalpha() for c in body)),
         float(bool(_GOES_ON.match(after))), float(bool(_CAME_ON.search(before))), float(after[:1] == "." and after[1:2].isalnum()),
         float(left.isalnum()), float(right.isalnum()), float(left in "\"'=_#"), float(right in "\"'_%"),
-        *(float(any(w in before for w in words)) for words in _NEAR.values()),
+        spread, float(secret and bool(re.search(r"[:=][ \"']*$", before))), float(secret and bool(re.fullmatch("[0-9a-fA-F]+", body))),
+        *([float(any(w in before for w in words)) for words in _NEAR.values()] if _WORDY.search(before) else [0.0] * len(_NEAR)),
     ]
 
 
@@ -161,6 +181,40 @@ def _overlap(a: Span, b: Span) -> bool:
     return a[1] < b[2] and b[1] < a[2]
 
 
+class _Cover:
+    """Which characters of a text are taken: a look at a span costs its length, however many spans there are."""
+
+    def __init__(self, text: str, spans: list[Span] = ()) -> None:
+        self.taken = bytearray(len(text))
+        for span in spans:
+            self.take(span)
+
+    def take(self, span: Span) -> None:
+        self.taken[span[1] : span[2]] = b"\1" * (span[2] - span[1])
+
+    def meets(self, span: Span) -> bool:
+        return self.taken.find(1, span[1], span[2]) >= 0
+
+
+def _assigned(text: str) -> list[Span]:
+    """Secrets beyond doubt: 16 characters or more, digits and letters, assigned to a word for a secret."""
+    if not any(h in text.lower() for h in _HINTS):
+        return []
+    sure = lambda v: len(v) >= 16 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+    return [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if sure(m[1]) and _RUN.fullmatch(m[1])]
+
+
+def _made_secrets(body: str, near: str, rest: str) -> Iterator[tuple[str, Span, int]]:
+    """A key made of a hash, as keys are written, and the same characters where they are no secret."""
+    value, pick = hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(), zlib.crc32(body.encode("utf-8", "surrogatepass"))
+    value = (value[:40], value[:32].upper(), "sk-" + value[:24], value[:20] + "Xy/" + value[20:30])[pick % 4]
+    for lead, tail, right in (
+        (('token = "', '"', 1), ("api_key: ", "", 1), ("password=", "", 1), ("SECRET='", "'", 1))[pick // 4 % 4],
+        (("commit ", "", 0), ("sha1:", "", 0), ("", "", 0), ('id="', '"', 0))[pick // 16 % 4],
+    ):
+        yield near + lead + value + tail + rest, ("secret", len(near) + len(lead), len(near) + len(lead) + len(value)), right
+
+
 def _disguised(text: str, span: Span) -> Iterator[tuple[str, Span]]:
     """A known span written as people hide or shorten it, or with a number behind it that the rules take for a part
     of it; each in its context, and only what the rules then do not find."""
@@ -171,7 +225,9 @@ def _disguised(text: str, span: Span) -> Iterator[tuple[str, Span]]:
         name, host = plain.split("@", 1)
         forms = [(body.replace("@", mark, 1), ""), (name + mark + ".".join(host.split(".")[-2:]), "")]
     elif kind == "phone":
-        forms = [(re.sub(r"^\+[0-9]{1,3}[ -]", "", body), ""), (body, (" 2024-01-02", " 31.12.2023", " 1200 1300")[pick % 3])]
+        local = (" ", "-", ".")[pick % 3].join(_GROUP.findall(body)[1:] or [body])
+        others = " ".join(local.translate(str.maketrans("0123456789", d)) for d in ("3456789012", "7890123456"))
+        forms = [(re.sub(r"^\+[0-9]{1,3}[ -]", "", body), ""), (body, (" 2024-01-02", " 31.12.2023", " 1200 1300")[pick % 3]), (local, ""), (local, " " + others)]
     elif kind == "card":
         tail, fours = (" 2024", " 123", " 12-27", " 0427 911")[pick % 4], re.findall("[0-9]{1,4}", _digits(body))
         forms = [(body, tail), ((" ", "-")[pick // 4 % 2].join(fours), tail), ((".", "  ")[pick // 8 % 2].join(fours), "")]
@@ -190,13 +246,24 @@ def _disguised(text: str, span: Span) -> Iterator[tuple[str, Span]]:
 def labelled(text: str) -> list[Example]:
     """Candidates of one text as examples: base spans are right, also disguised; what no rule confirms is wrong, and
     so are the other spans that overlap a disguised one. What would be a phone for the rules if it stood alone, but
-    has a number behind it, is unknown, and no example. A fifth of the texts, by hash, is held out."""
+    has a number behind it, is unknown, and no example; so is a run of characters that has a word for a secret before
+    it but is not assigned to it. A fifth of the texts, by hash, is held out."""
     known, held = base_spans(text), int(zlib.crc32(text.encode("utf-8", "surrogatepass")) % 5 == 0)
     alone = lambda c: c[0] == "phone" and text[c[1]] == "+" and ("phone", 0, c[2] - c[1]) in base_spans(text[c[1] : c[2]])
-    out = [(features(text, c), int(c in known), int(c not in known), held) for c in candidates(text) if c in known or not (any(_overlap(c, k) for k in known) or alone(c))]
+    assigned, right, cover = set(_assigned(text)), set(known), _Cover(text, known)
+    out = []
+    for c in candidates(text):
+        if c[0] == "secret":
+            if c in assigned or not any(h in text[max(0, c[1] - 24) : c[1]].lower() for h in _HINTS):
+                out.append((features(text, c), int(c in assigned), 1, held))
+        elif c in right or not (cover.meets(c) or alone(c)):
+            out.append((features(text, c), int(c in right), int(c not in right), held))
     for span in known:
         for whole, made in _disguised(text, span):
             out += [(features(whole, c), int(c == made), 1, held) for c in candidates(whole) if _overlap(c, made)]
+        near, rest = text[max(0, span[1] - 40) : span[1]], text[span[2] : span[2] + 40]
+        for whole, made, is_one in _made_secrets(text[span[1] : span[2]], near, rest):
+            out += [(features(whole, c), int(is_one and c == made), 1, held) for c in candidates(whole) if c[0] == "secret" and _overlap(c, made)]
     return out
 
 
@@ -212,7 +279,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: in
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.list_(pa.float64())), *numbers], ["x", "y", "asked", "held"])
 
     few = docs.filter(F.col(text_col).isNotNull() & (hash_share(id_col, 5) < min(1.0, sample_docs / n))).select(text_col)
-    rows = few.mapInArrow(of, "x array<double>, y int, asked int, held int").limit(sample_candidates).collect()
+    rows = few.mapInArrow(of, "x array<double>, y int, asked int, held int")
+    rows = rows.orderBy(F.xxhash64("x", "y", "asked", "held")).limit(sample_candidates).collect()  # the same in any partitioning
     return fit([tuple(r) for r in rows])
 
 
@@ -242,15 +310,17 @@ def spans_of(text: str, model: Judge | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if model is None:
         return base, base
-    offered = [c for c in candidates(text) if not any(c[1] < b[2] and b[1] < c[2] for b in base)]
+    cover = _Cover(text, base)
+    offered = [c for c in candidates(text) if not cover.meets(c)]
     if not offered:
         return base, base
     p = model.trees.probability(np.array([features(text, c) for c in offered]))
     chosen = list(base)
     for i in np.argsort(-p, kind="stable"):
         c = offered[i]
-        if p[i] >= model.thresholds[c[0]] and not any(c[1] < b[2] and b[1] < c[2] for b in chosen):
+        if p[i] >= model.thresholds[c[0]] and not cover.meets(c):
             chosen.append(c)
+            cover.take(c)
     return base, sorted(chosen, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -262,7 +332,8 @@ def find_personal_data(docs: DataFrame, model: Judge | None, text_col: str = "te
 
     Defined cases: null and empty texts have no spans; repeated rows have the same; without examples to learn
     from the base spans are all; an empty table gives an empty table; input columns named as the outputs are
-    replaced. At scale: one narrow pass, linear in a text; the model is a few trees.
+    replaced. At scale: one narrow pass, linear in a text (a text of numbers has some candidates for each of them);
+    the model is a few trees.
     """
     shared = Shipped(docs.sparkSession, model)
 
@@ -273,9 +344,9 @@ def find_personal_data(docs: DataFrame, model: Judge | None, text_col: str = "te
         as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
         return pa.StructArray.from_arrays([pa.array([as_rows(b[i]) for b in both], kind) for i in (0, 1)], ["base_spans", "all_spans"])
 
-    kept = [c for c in docs.columns if c not in ("base_spans", "all_spans", "_spans")]
-    found = docs.select(*kept).withColumn("_spans", of(F.col(text_col)))
-    return found.select(*kept, "_spans.base_spans", "_spans.all_spans")
+    kept, both = [c for c in docs.columns if c not in ("base_spans", "all_spans")], unused("_both", docs)
+    found = docs.withColumn(both, of(F.col(text_col)))
+    return found.select(*kept, f"{both}.base_spans", f"{both}.all_spans")
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -296,6 +367,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, train(docs))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    of_kind = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
-    counts = [of_kind(kind).alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))
+    of_kind = lambda spans, kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    counts = [of_kind("base_spans", kind).alias(f"n_{kind}") for kind in BASE]
+    more = [of_kind("all_spans", "secret").alias("n_secret"), F.size("all_spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("all_spans").alias("spans"), *more)

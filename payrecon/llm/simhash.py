@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 from .graph import components
 
 SEED = 42
@@ -130,10 +130,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Rows of groups, less their best ones: they go. Best ones that are repeated: all but one copy go.
     judged = many.join(best, "_group").select("_row.*", (F.col("_row") != F.col("_best")).alias("_goes"), (F.col("_n") > 1).alias("_again"))
     losers = stored(judged.filter("_goes OR _again").select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), "_goes"), "simhash-losers")
-    here = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
-    match = here[id_col].eqNullSafe(losers["_id2"]) & (here["_th"] == losers["_th2"])
+    th = unused("_th", docs)
+    here = docs.withColumn(th, F.xxhash64(F.col(text_col)))
+    match = here[id_col].eqNullSafe(losers["_id2"]) & (here[th] == losers["_th2"])
     alone = here.join(losers, match, "left_anti")
-    again = here.join(losers.filter("NOT _goes"), match, "left_semi").dropDuplicates([id_col, "_th"])
+    again = here.join(losers.filter("NOT _goes"), match, "left_semi").dropDuplicates([id_col, th])
     return alone.unionByName(again).select(*docs.columns)
 
 

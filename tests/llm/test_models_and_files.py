@@ -167,6 +167,32 @@ def test_spans_that_no_rule_finds():
         assert (kind, len(before), len(before) + len(body)) in pii.spans_of(before + body + after, model)[1], body
 
 
+def test_recall_of_planted_spans_and_secrets(spark):
+    """Disguised spans and keys on texts that nothing was learnt from; a text of numbers stays linear."""
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    model = pii.fit([x for text in docs[:3000] for x in pii.labelled(text or "")])
+    found, clean, planted = 0, 0, []
+    for i, text in enumerate(t for t in docs[5000:7000] if t and not re.search("[0-9@]", t)):
+        kind, body = ("secret", hashlib.sha1(str(i).encode()).hexdigest()) if i % 2 else ("email", f"ann.lee{'abc'[i % 3]} (at) mail.example.org")
+        at = text.find(" ", len(text) // 2) + 1
+        lead = 'token = "' if i % 2 else ""
+        planted.append((kind, at + len(lead), at + len(lead) + len(body)) in pii.spans_of(text[:at] + lead + body + ('"' if lead else "") + " " + text[at:], model)[1])
+        clean += pii.spans_of(text, model)[1] == []
+    assert len(planted) > 500 and sum(planted) >= 0.95 * len(planted) and clean == len(planted)
+    for text in ("call 415-555-0199 212-555-0123 646-555-0100 now", "or 415-555-0199 please"):
+        assert ("phone", text.index("4"), text.index("4") + 12) in pii.spans_of(text, model)[1]
+    assert pii.spans_of("at commit 186661156f3f9905942d70850a01cbf23a203f82 it broke", model)[1] == []
+    assert len(pii.spans_of("+1 (743) 555-1000 " * 2000, model)[1]) == 2000
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.train(none) is None and pii.find_personal_data(none, None).count() == 0
+    rows = [(i % 40, f"mail a{i % 40}@b.org or +1 743 555 10{i % 40:02d}", "x", 1) for i in range(400)]
+    odd = spark.createDataFrame([*rows, (None, None, None, None)], "doc_id long, text string, base_spans string, _spans int")
+    a, b = (pii.find_personal_data(odd.repartition(n), pii.train(odd.repartition(n))) for n in (2, 7))
+    assert a.columns == ["doc_id", "text", "_spans", "base_spans", "all_spans"]
+    key = lambda df: sorted((str(r.doc_id), str(r.all_spans)) for r in df.collect())
+    assert key(a) == key(b) and len(key(a)) == 401
+
+
 def test_thresholds_come_from_what_the_model_decides():
     rng = random.Random(6)
     row = lambda kind, hint: [*(float(kind == k) for k in pii.KINDS), float(hint)]
