@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, stored, table, unused
 
 #: exp(-rate) stays far from the smallest double; larger rates are sums of several Poisson numbers.
 LARGEST_STEP = 500.0
 OWN = ("mix_copy", "mix_order")
+#: Copies that one array holds; rows of sources with higher rates are dealt out in blocks of as many.
+BLOCK = 1000
 
 
 def _uniform(*parts: Column) -> Column:
@@ -71,25 +73,37 @@ def mix_sources(
 
     Defined cases: a null source is a source of its own; a null id takes the MD5 of the text for it; repeated
     rows get the same number of copies each; empty texts count as rows; an empty table gives an empty table;
-    input columns named mix_copy or mix_order are replaced. A weight of 0 drops the source.
+    input columns named mix_copy or mix_order are replaced, all others come out as they are. A weight of 0 drops
+    the source.
 
     At scale: rows are counted per source with map-side sums; the table of rates is stored, so that Spark
     broadcasts it if its size is below the session's threshold and else sorts and merges, splitting the
-    partition of a hot source; copies are dealt by a hash of id and copy number, which no source can skew.
+    partition of a hot source; copies are dealt by a hash of id and copy number, which no source can skew. A row of
+    which there are more than some BLOCK copies is first repeated by blocks, which other tasks then repeat.
     """
     docs = docs.drop(*OWN)
     rates = source_rates(docs, weights, source_col)
-    who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    who_of = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    mix, block = unused("_mix", docs), unused("_block", docs)
+    rates = rates.select("_src", F.struct("_rate", "_steps", "_cdf").alias(mix))
+    known = docs.join(rates.withColumnRenamed("_src", block), F.col(source_col).eqNullSafe(F.col(block))).drop(block)
+    known = known.withColumn(mix, F.struct(f"{mix}.*", who_of.alias("_who")))
 
     def one(step: Column) -> Column:
-        u = _uniform(F.lit(str(seed)), step.cast("string"), F.col("_who"))
-        return let(u, lambda x: F.size(F.filter(F.col("_cdf"), lambda c: c < x)))
-
-    n = F.aggregate(F.sequence(F.lit(1), F.col("_steps")), F.lit(0), lambda acc, j: acc + one(j))
-    counted = docs.join(rates, docs[source_col].eqNullSafe(rates["_src"])).withColumn("_who", who).withColumn("_copies", n)
-    copies = counted.filter("_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))))
+        u = _uniform(F.lit(str(seed)), step.cast("string"), F.col(f"{mix}._who"))
+        return let(u, lambda x: F.size(F.filter(F.col(f"{mix}._cdf"), lambda c: c < x)))
+
+    n = F.aggregate(F.sequence(F.lit(1), F.col(f"{mix}._steps")), F.lit(0).cast("long"), lambda acc, j: acc + one(j))
+    counted = known.withColumn(mix, F.struct(f"{mix}._rate", f"{mix}._who", n.alias("n"))).filter(F.col(f"{mix}.n") > 0)
+    numbers = lambda a, b: F.explode(F.sequence(a, b))
+    copies = counted.filter(F.col(f"{mix}._rate") <= BLOCK).withColumn("mix_copy", numbers(F.lit(1).cast("long"), F.col(f"{mix}.n")))
+    if (rates.agg(F.max(f"{mix}._rate")).first()[0] or 0) > BLOCK:
+        many = counted.filter(F.col(f"{mix}._rate") > BLOCK)
+        many = many.withColumn(block, numbers(F.lit(0).cast("long"), F.floor((F.col(f"{mix}.n") - 1) / BLOCK))).repartition(F.col(f"{mix}._who"), F.col(block))
+        last = F.least((F.col(block) + 1) * BLOCK, F.col(f"{mix}.n"))
+        copies = copies.unionByName(many.withColumn("mix_copy", numbers(F.col(block) * BLOCK + 1, last)).drop(block))
     order = F.conv(
-        F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.col("_who"), F.col("mix_copy").cast("string")).cast("binary")), 1, 15), 16, 10
+        F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.col(f"{mix}._who"), F.col("mix_copy").cast("string")).cast("binary")), 1, 15), 16, 10
     ).cast("long")
     copies = copies.withColumn("mix_order", order).select(*docs.columns, *OWN)
     return copies.repartition("mix_order").sortWithinPartitions("mix_order")
