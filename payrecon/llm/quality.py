@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stored, table
+from .common import SPACES, let, stored, table, unused
 
-#: Rows of the sample on which the order of the rules is estimated. It changes the speed, never a verdict.
-SAMPLE_ROWS = 400
+#: Rows of the sample, about, on which the order of the rules is estimated. It changes the speed, never a verdict.
+SAMPLE_ROWS = 1500
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -56,95 +58,130 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, F.lit(0)).otherwise(let(one, lambda x: let(hashes(x), count)))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id` and the counts the rules look at; words are runs of anything but ASCII white space."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), words_of(text).alias("_words"))
-    with_word = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return cut.select(
-        "doc_id",
-        F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(with_word, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("kinds"))).alias("_lines"),
-        repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.col("_text").rlike(r"\p{L}").alias("has_letter"),
-    ).select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
-        (F.col("_lines.all") - F.col("_lines.kinds")).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.col("_lines.all").cast("long").alias("n_lines"), "has_letter",
-    )
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _most_said(words: Column) -> Column:
+    """How often the middle one of the sorted words comes: if a word is more than half of all, it is that one."""
+    middle = F.get(F.sort_array(words), F.floor(F.size(words) / 2).cast("int"))
+    return let(middle, lambda m: F.size(F.filter(words, lambda w: w == m)))
+
+
+#: What rules look at, as expressions over a text (never null) and its words.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words),
+    "word_chars": lambda text, words: F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
+    "n_symbols": lambda text, words: F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")),
+    "lines": lambda text, words: let(_lines(text), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))),
+    "n_repeat_words": lambda text, words: repeated_words(words),
+    "has_letter": lambda text, words: text.rlike(r"\p{L}"),
+    "n_letters": lambda text, words: F.length(F.regexp_replace(text, r"\P{L}+", "")),
+    "most_said": lambda text, words: _most_said(words),
+}
+
+Measure = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails the rule where the SQL condition over the measures holds."""
+    """A document fails the rule where `fails` holds; it gets a function that gives a measure by name."""
 
     name: str
-    fails: str
+    needs: tuple[str, ...]
+    fails: Callable[[Measure], Column]
 
 
 #: The first two are the base; the rest are loose bounds that prose does not come near.
 RULES = (
-    Rule("too_short", "n_words < 20"),
-    Rule("repeats", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("no_letters", "NOT has_letter"),
+    Rule("too_short", ("n_words",), lambda m: m("n_words") < 20),
+    Rule("repeats", ("n_words", "n_repeat_words"), lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    Rule("symbols", ("n_words", "n_symbols"), lambda m: 10 * m("n_symbols") > m("n_words")),
+    Rule("duplicate_lines", ("lines",), lambda m: let(m("lines"), lambda x: (x["n"] >= 4) & (10 * x["dup"] > 3 * x["n"]))),
+    Rule("word_length", ("n_words", "word_chars"), lambda m: let(m("word_chars"), lambda c: (c < 2 * m("n_words")) | (c > 15 * m("n_words")))),
+    Rule("no_letters", ("has_letter",), lambda m: ~m("has_letter")),
+    Rule("few_letters", ("word_chars", "n_letters"), lambda m: 10 * m("n_letters") < 3 * m("word_chars")),
+    Rule("one_word", ("n_words", "most_said"), lambda m: (m("n_words") >= 20) & (2 * m("most_said") > m("n_words"))),
 )
 
 
-def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Rule]:
-    """The rules by rejections per second, best first, as measured on up to `sample_rows` documents.
+def _inline(text: str, words: str, there: dict[str, str]) -> Measure:
+    """Gives a measure's column where there is one, else its expression, which is computed where it stands."""
+    return lambda name: F.col(there[name]) if name in there else MEASURES[name](F.col(text), F.col(words))
+
+
+def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", there: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules by rejections per second, best first, as measured on some `sample_rows` documents.
 
-    A rule's cost is the time Spark takes to compute that rule alone (only the measures it needs) over the
-    stored sample; its selectivity is the share of the sample it rejects. Ties keep the order given.
+    The sample is the rows of the smallest hashes of id and text, stored. A rule's cost is the lesser time of two
+    passes that compute its measures alone, less that of a pass that only cuts the words; its selectivity is the
+    share of the sample that it rejects. Rules of which all measures are `there` cost nothing and come first. Costs
+    are rounded to powers of four, so that the same table gives the same order; ties keep the order given.
     """
-    few = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")).sample(0.2, 7).limit(sample_rows)
-    few = stored(few, "quality-sample")
-    score = []
+    n = docs.count()
+    share = F.pmod(F.xxhash64(F.lit(3), id_col, text_col), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample_rows / max(1, n))))
+    few = stored(docs.filter(share).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "quality-sample").withColumn("_words", words_of(F.col("_text")))
+    get = _inline("_text", "_words", {})
+
+    def seconds(*columns: Column) -> float:
+        """Of the lesser of two passes."""
+        took = []
+        for _ in range(2):
+            began = time.monotonic()
+            few.agg(F.sum(F.size("_words")).alias("w"), *[F.max(F.xxhash64(c)).alias(f"c{i}") for i, c in enumerate(columns)]).collect()
+            took.append(time.monotonic() - began)
+        return min(took)
+
+    counts = few.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.coalesce(r.fails(get), F.lit(False))).alias(r.name) for r in rules]).first()
+    idle, score = seconds(), []
     for rule in rules:
-        began = time.monotonic()
-        row = measures(few).agg(F.count_if(F.expr(rule.fails)).alias("n"), F.count(F.lit(1)).alias("all")).first()
-        spent = time.monotonic() - began
-        score.append((row["n"] / max(1, row["all"])) / max(spent, 1e-3))
+        cost = 0.0 if set(rule.needs) <= set(there) else 4.0 ** round(math.log(max(1e-3, seconds(*[get(x) for x in rule.needs]) - idle), 4))
+        score.append(math.inf if cost == 0 else counts[rule.name] / max(1, counts["all"]) / cost)
     return [rule for _, rule in sorted(zip(score, rules, strict=True), key=lambda x: -x[0])]
 
 
-def cascade(order: list[Rule]) -> Column:
-    """True where no rule fails. The conditions are tried in order and the first that fails ends it."""
-    out = F.lit(False)
+def cascade(order: list[Rule], get: Measure) -> Column:
+    """The name of the first rule that rejects, null if none does. Conditions are tried in order; what stands behind
+    the first that holds is not computed."""
     chain = None
     for rule in order:
-        hit = F.coalesce(F.expr(rule.fails), F.lit(False))
-        chain = F.when(hit, out) if chain is None else chain.when(hit, out)
-    return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
+        hit = F.coalesce(rule.fails(get), F.lit(False))
+        chain = F.when(hit, rule.name) if chain is None else chain.when(hit, rule.name)
+    return F.lit(None).cast("string") if chain is None else chain
 
 
-def quality_filter(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures of every document and `kept`: whether it passes all rules, tried in the cascade's order.
+def quality_filter(
+    docs: DataFrame, rules=RULES, show: tuple[str, ...] = (), order: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """docs' columns with the measures that `show` names, `rejected_by` (the first rule that fails) and `kept`.
 
-    The order is estimated on a sample and only moves time about: a document is kept if and only if no rule
-    fails, in any order. The measures are plain columns, which a caller that selects them has computed for every
-    document; the cascade then skips comparisons only.
+    Measures that are not shown stand inside the branches of the cascade: a document that a rule has rejected pays
+    for no later one. Measures that are shown are computed for every document, and rules that need only these come
+    first. The order is estimated on a sample and only moves time about (and which of several failing rules is
+    named): a document is kept if and only if no rule fails, in any order.
 
-    Defined cases: null and empty texts have no words and fail `too_short`; repeated rows, null ids and ties
-    are judged row by row; an empty table gives an empty table; other columns are not read.
+    Defined cases: null and empty texts have no words and fail `too_short`; repeated rows, null ids and ties are
+    judged row by row; an empty table gives an empty table; input columns named as the outputs are replaced.
 
-    At scale: one narrow pass, no shuffle; sorting within a text is n log n, so that long texts stay linear
-    but for the logarithm.
+    At scale: one narrow pass, no shuffle; sorting within a text is n log n, so that long texts stay linear but for
+    the logarithm.
     """
-    order = rule_order(docs, rules, sample_rows, text_col)
-    return measures(docs, id_col, text_col).withColumn("kept", cascade(order))
+    order = rule_order(docs, rules, sample_rows, id_col, text_col, show) if order is None else order
+    text, words = unused("_text", docs), unused("_words", docs)
+    own = docs.select(*[c for c in docs.columns if c not in (*show, "rejected_by", "kept")], F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    cut = own.withColumn(words, words_of(F.col(text)))
+    kept = [c for c in own.columns if c != text]
+    seen = cut.select(*kept, text, words, *[MEASURES[x](F.col(text), F.col(words)).alias(x) for x in show])
+    judged = seen.withColumn("rejected_by", cascade(order, _inline(text, words, {x: x for x in show})))
+    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop(text, words)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_filter(table(spark, sf_dir, "documents"))
-    base = F.expr(RULES[0].fails) | F.expr(RULES[1].fails)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept"
-    )
+    counts = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+    judged = quality_filter(table(spark, sf_dir, "documents").select("doc_id", "text"), show=counts)
+    base = RULES[0].fails(F.col) | RULES[1].fails(F.col)
+    whole = [F.col(c).cast("long").alias(c) for c in counts if c != "lines"]
+    return judged.select("doc_id", *whole[:3], F.col("lines.dup").cast("long").alias("n_dup_lines"), whole[3], base.alias("base_failed"), "kept")
 
 
 SQL = {
@@ -161,12 +198,14 @@ m AS (
     coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, regexp_matches(text, '\p{L}') AS has_letter
+    coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, regexp_matches(text, '\p{L}') AS has_letter,
+    length(regexp_replace(text, '\P{L}+', '', 'g')) AS n_letters, coalesce(list_max(map_values(list_histogram(words))), 0) AS most
   FROM w LEFT JOIN p USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
     OR (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)
-    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR NOT has_letter) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR NOT has_letter
+    OR 10 * n_letters < 3 * word_chars OR (n_words >= 20 AND 2 * most > n_words)) AS kept
 FROM m""",
 }

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from payrecon.llm import decontam, line_dedup, mixing, quality, simhash
 from payrecon.llm.graph import components
@@ -85,6 +86,18 @@ def test_mixing_rates_and_repeats(spark):
     assert {r.source for r in big.collect()} == {"hot"}
 
 
+def test_mixing_keeps_columns_and_splits_many_copies(spark, docs):
+    rows = [(i, f"t{i}", None if i == 5 else "hot" if i % 7 else "one", "s", 2.0, 3, "w", "c", 1) for i in range(3000)] + [(None, "x", "hot", "s", 2.0, 3, "w", "c", 1)] * 2
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, _src string, _rate double, _steps int, _who string, _cdf string, _mix int")
+    out = mixing.mix_sources(odd)
+    assert out.columns == [*odd.columns, "mix_copy", "mix_order"]
+    got = as_rows(out)  # the null source has one row, and so a rate of a thousand
+    assert {(r["_src"], r["_rate"], r["_steps"], r["_who"], r["_cdf"], r["_mix"]) for r in got} == {("s", 2.0, 3, "w", "c", 1)}
+    copies = Counter((r["doc_id"], r["source"]) for r in got)
+    assert abs(copies[(5, None)] - 3002 / 3) < 5 * (3002 / 3) ** 0.5 and copies[(None, "hot")] % 2 == 0
+    assert all(sorted(r["mix_copy"] for r in got if r["doc_id"] == i) == list(range(1, copies[(i, s)] + 1)) for i, s in copies if i in (5, 7, 14))
+
+
 def test_mixing_large_rate(spark):
     docs = spark.createDataFrame([(i, "t", "a" if i == 0 else "b") for i in range(1500)], "doc_id long, text string, source string")
     n = mixing.mix_sources(docs, {"a": 1.0, "b": 0.0}).count()
@@ -101,15 +114,46 @@ def plain_measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def plain_kept(text):
+    n, chars, symbols, dup, repeats = plain_measures(text)
+    words = [w for w in re.split(r"[ \t\n\v\f\r]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^ \t\n\v\f\r]", x)]
+    letters = sum(c.isalpha() for c in text or "")
+    if n < 20 or 100 * repeats > 30 * n or 10 * symbols > n or (len(lines) >= 4 and 10 * dup > 3 * len(lines)):
+        return False
+    most = Counter(words).most_common(1)[0][1]
+    return not (chars < 2 * n or chars > 15 * n or letters == 0 or 10 * letters < 3 * chars or 2 * most > n)
+
+
+ODD = [
+    (90, "a b c d e f g h i j " * 9), (91, "# $ % word " * 10 + "\nx\nx\nx"), (92, "p q r s t u v w\n" * 2), (93, " ".join(f"{i * 7919}" for i in range(40))),
+    (94, " ".join(f"{i * 7919} ab" for i in range(40))), (95, " ".join(f"the word{i}" if i % 2 else "the the" for i in range(30))), (96, "x" * 2000 + " " + "yz " * 25),
+    (97, " ".join(f"plain{i} words{i % 7}" for i in range(30))), (98, "\n".join([*["same"] * 9, *[f"line {i} of text" for i in range(9)]])),
+]
+
+
 def test_quality(spark, docs):
-    extra = spark.createDataFrame([(90, "a b c d e f g h i j " * 9), (91, "# $ % word " * 10 + "\nx\nx\nx"), (92, "p q r s t u v w\n" * 2)], "doc_id long, text string")
-    rows = docs.select("doc_id", "text").union(extra)
-    got = as_rows(quality.quality_filter(rows, sample_rows=20))
-    want = Counter((r["doc_id"], *plain_measures(r["text"])) for r in as_rows(rows))
-    assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in got) == want
-    for r in got:
-        base = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
-        assert not (base and r["kept"])
+    rows = docs.select("doc_id", "text", F.lit("own").alias("_words"), F.lit(1).alias("kept")).union(spark.createDataFrame([(*x, "own", 1) for x in ODD], "doc_id long, text string, a string, b int"))
+    names = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+    got = as_rows(quality.quality_filter(rows, show=names, sample_rows=20))
+    want = Counter((r["doc_id"], *plain_measures(r["text"]), plain_kept(r["text"])) for r in as_rows(rows))
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["lines"]["dup"], r["n_repeat_words"], r["kept"]) for r in got) == want
+    assert {r["_words"] for r in got} == {"own"} and {r["kept"] for r in got} == {True, False}
+    for order in (list(quality.RULES), list(reversed(quality.RULES))):
+        lazy = as_rows(quality.quality_filter(rows, order=order))
+        assert Counter((r["doc_id"], r["kept"]) for r in lazy) == Counter((x[0], x[-1]) for x in want.elements())
+    many = docs.select("doc_id", "text").union(spark.createDataFrame([(i, f"word{i} " * (i % 60)) for i in range(300)], "doc_id long, text string"))
+    assert [r.name for r in quality.rule_order(many.repartition(3), sample_rows=200, there=("n_words",))][0] == "too_short"
+
+
+def test_quality_computes_dear_measures_behind_cheap_ones(spark):
+    """A text that a cheap rule rejects never meets the dear one, which here would fail the job."""
+    bomb = quality.Rule("bomb", ("n_words",), lambda m: F.raise_error(F.concat(F.lit("computed for "), m("n_words").cast("string"))).cast("boolean"))
+    few = spark.createDataFrame([(i, "two words") for i in range(9)], "doc_id long, text string")
+    out = quality.quality_filter(few, order=[quality.RULES[0], bomb])
+    assert {(r.rejected_by, r.kept) for r in out.collect()} == {("too_short", False)}
+    with pytest.raises(Exception, match="computed for"):
+        quality.quality_filter(few, order=[bomb, quality.RULES[0]]).collect()
 
 
 def plain_print(text):
