@@ -28,6 +28,10 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
 
     Of pages with equal payloads of at least `least_bytes` bytes that with the smallest id is a response and
     the others revisit it, without its payload; smaller ones are all responses.
+
+    Defined cases: a null payload is an empty one, a null URL an empty one; rows that repeat the id of a response,
+    and its payload, are responses too; a null id is no smallest one, its record refers to the smallest known one,
+    and where all ids are null all are responses; other columns are not read.
     """
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20]", "%20")
     base = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
@@ -119,23 +123,42 @@ def offsets(seen: DataFrame) -> DataFrame:
 
 
 def reachable(jumps: DataFrame) -> DataFrame:
-    """`_file, _at` of the records on the chain that begins at offset 0, by pointer jumping.
+    """`_file, _at` of the records on the chain that begins at offset 0.
 
-    jumps: `_file, _at, _to`. Each round doubles how far every pointer goes and how many records are reached;
-    rounds grow with the logarithm of the records of a file, and each is a stored table.
+    jumps: `_file, _at, _to`. Candidates that follow each other in a file and point at each other are one run; a run
+    begins anew where a pointer from elsewhere comes in. Pointer jumping then goes over runs, of which a file without
+    the magic in its payloads has one.
+    """
+    order, here = Window.partitionBy("_file").orderBy("_at"), ["_file", "_at"]
+    near = jumps.withColumn("_joins", F.coalesce(F.lag("_to").over(order) == F.col("_at"), F.lit(False)))
+    near = stored(near.withColumn("_leaps", ~F.coalesce(F.lead("_at").over(order) == F.col("_to"), F.lit(False))), "warc-jumps")
+    entered = near.filter("_leaps").select("_file", F.col("_to").alias("_at")).distinct().withColumn("_entered", F.lit(True))
+    heads = near.join(entered, here, "left").withColumn("_head", ~F.col("_joins") | F.col("_entered").isNotNull())
+    runs = stored(heads.select(*here, "_to", F.sum(F.col("_head").cast("long")).over(order).alias("_run")), "warc-runs")
+    links = stored(runs.groupBy("_file", "_run").agg(F.min("_at").alias("_at"), F.max_by("_to", "_at").alias("_to")), "warc-links")
+    found = _jumped(links.drop("_run"))
+    return runs.join(links.join(found, here).select("_file", "_run"), ["_file", "_run"], "left_semi").select(*here)
+
+
+def _jumped(jumps: DataFrame) -> DataFrame:
+    """`_file, _at` of the nodes on the chains from offset 0, by pointer jumping over `_file, _at, _to`.
+
+    Each round doubles how far every pointer goes and how many nodes are reached; pointers that lead beyond the
+    last node drop out. Rounds grow with the logarithm of the nodes of a file, and each is a stored table, joined
+    by sort and merge.
     """
-    jumps = stored(jumps, "warc-jumps")
-    found = jumps.filter("_at = 0").select("_file", "_at")
+    here = ["_file", "_at"]
+    nodes, found = jumps.select(*here), stored(jumps.filter("_at = 0").select(*here), "warc-found")
     n = found.count()
     while True:
-        step = found.join(jumps, ["_file", "_at"]).select("_file", F.col("_to").alias("_at"))
-        found = stored(found.union(step.join(jumps, ["_file", "_at"], "left_semi")).distinct(), "warc-found")
+        step = found.join(jumps.hint("merge"), here).select("_file", F.col("_to").alias("_at"))
+        found = stored(found.union(step.join(nodes.hint("merge"), here, "left_semi")).distinct(), "warc-found")
         now = found.count()
         if now == n:
             return found
         n = now
-        there = jumps.select(F.col("_file"), F.col("_at").alias("_to"), F.col("_to").alias("_next"))
-        jumps = stored(jumps.join(there, ["_file", "_to"], "left").select("_file", "_at", F.coalesce("_next", "_to").alias("_to")), "warc-jumps")
+        then = jumps.select("_file", F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+        jumps = stored(jumps.hint("merge").join(then, ["_file", "_to"]).select(*here, F.col("_next").alias("_to")), "warc-jumps")
 
 
 def records_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +200,7 @@ def index_warc(spark: SparkSession, path: str) -> DataFrame:
     says about lengths moves nothing.
 
     Defined cases: a file that does not begin with a record has none; a chain ends where no candidate follows;
-    empty files and folders give no rows.
+    empty files, and archives of an empty table, give no rows.
 
     At scale: archives are read in splits, and what is read of payloads (length and digest) is computed where
     they are read; offsets, pointers and chains are tables of numbers. Only records that hold the magic are put
