@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, unused
+from .common import parted, stored, table, unused
 
 WINDOW = 13
 GRAM = 5
@@ -235,7 +235,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     th = unused("_th", docs)
     here = docs.withColumn(th, F.xxhash64(F.col(text_col)))
     bad = stored(bad.distinct(), "contaminated")
-    return here.join(bad, here[id_col].eqNullSafe(bad["_id2"]) & (here[th] == bad["_th2"]), "left_anti").select(*docs.columns)
+    asked, apart = parted(here, [F.col(id_col), F.col(th)], bad, ["_id2", "_th2"])
+    alone = asked.join(bad, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col(th) == F.col("_th2")), "left_anti")
+    return apart.unionByName(alone).select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import parted, stored, table
 
 
 def line_windows(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -57,32 +57,34 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     of which all lines go become empty; an empty table gives an empty table; other columns are not read.
 
     At scale: the window hashes are stored once (some 30 bytes a line); repeats are found by a map-side minimum,
-    and joined back by sort-merge over two plain exchanges, which Spark splits when a window is hot.
+    and joined back by sort-merge over two plain exchanges, which Spark splits when a window is hot. Texts that lose
+    no line are not moved, see parted().
     """
     windows = stored(line_windows(docs, window, id_col, text_col), "line-windows")
     place = F.struct("_id", "_th", "_pos")
     firsts = windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
     firsts = stored(firsts.filter("_n > 1").drop("_n"), "line-firsts")
     later = windows.join(firsts, ["_h1", "_h2"]).filter(~place.eqNullSafe(F.col("_first")))
-    covered = later.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_at"))
+    covered = stored(later.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_at")), "line-covered")
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_th2"))
-    joined = texts.join(covered, texts["doc_id"].eqNullSafe(covered["_id"]) & (texts["_th2"] == covered["_th"]), "left")
+    asked, apart = parted(texts, [F.col("doc_id"), F.col("_th2")], covered, ["_id", "_th"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th"))
+    joined = asked.join(covered, same, "left")
     lines = F.split(F.col("_text"), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (window - 1)))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_gone", gone)
-        .select(
-            "doc_id",
-            F.when(F.col("_gone").isNull(), F.col("_text"))
-            .otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-            .alias("text"),
-            F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        )
+    n_lines = F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long").alias("n_lines")
+    cut = joined.withColumn("_lines", lines).withColumn("_gone", gone).select(
+        "doc_id",
+        F.when(F.col("_gone").isNull(), F.col("_text"))
+        .otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
+        .alias("text"),
+        n_lines,
+        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    whole = apart.withColumn("_lines", lines).select("doc_id", F.col("_text").alias("text"), n_lines, F.lit(0).cast("long").alias("n_removed"))
+    return whole.unionByName(cut)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, unused
+from .common import parted, stored, table, unused
 from .graph import components
 
 SEED = 42
@@ -118,7 +118,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest id (known ids first, then by hash of text).
 
-    Of rows that repeat both id and text one stays. The columns are those of docs.
+    Of rows that repeat both id and text one stays. The columns are those of docs. Texts of rows that stay without
+    question are not moved, see parted().
     """
     rows, groups = near_groups(docs, id_col, text_col)
     known = rows.join(groups.select("_fp", "_group"), "_fp", "left").select(
@@ -132,10 +133,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     losers = stored(judged.filter("_goes OR _again").select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), "_goes"), "simhash-losers")
     th = unused("_th", docs)
     here = docs.withColumn(th, F.xxhash64(F.col(text_col)))
-    match = here[id_col].eqNullSafe(losers["_id2"]) & (here[th] == losers["_th2"])
-    alone = here.join(losers, match, "left_anti")
-    again = here.join(losers.filter("NOT _goes"), match, "left_semi").dropDuplicates([id_col, th])
-    return alone.unionByName(again).select(*docs.columns)
+    asked, apart = parted(here, [F.col(id_col), F.col(th)], losers, ["_id2", "_th2"])
+    match = F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col(th) == F.col("_th2"))
+    alone = asked.join(losers, match, "left_anti")
+    again = asked.join(losers.filter("NOT _goes"), match, "left_semi").dropDuplicates([id_col, th])
+    return apart.unionByName(alone).unionByName(again).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
