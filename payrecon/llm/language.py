@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,20 +19,26 @@ PER_LANGUAGE, LANDMARKS = 400, 160
 ORDERS = (1, 2, 3)
 SYMBOLS = 64
 RIDGE = 1e-3
+#: A text is held against so many landmarks to tell if its language is a known one; share of known texts less like them.
+NEAREST, LOST = 8, 0.02
+#: Of rare letters the numbers go by Unicode block; the rest of SYMBOLS is the sample's most frequent characters.
+RARE = 8
 UNKNOWN = "und"
 
 
 def _codes(text: str, alphabet: dict[int, int]) -> np.ndarray:
-    """The text's characters as numbers below SYMBOLS; rare ones share the last few by Unicode block."""
+    """The text's characters as numbers below SYMBOLS; rare letters share the last few, Latin ones one and others
+    the rest by Unicode block, and other rare characters the very last."""
     chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     kinds, back = np.unique(chars, return_inverse=True)
-    rare = SYMBOLS - 8
-    return np.array([alphabet.get(c, rare + (c >> 7) % 8) for c in kinds.tolist()], dtype=np.int64)[back]
+    rare = SYMBOLS - RARE
+    other = lambda c: SYMBOLS - 1 if not chr(c).isalpha() else rare if c < 0x250 else rare + 1 + (c >> 7) % (RARE - 2)
+    return np.array([alphabet[c] if c in alphabet else other(c) for c in kinds.tolist()], dtype=np.int64)[back]
 
 
-def ngrams(text: str, alphabet: dict[int, int]) -> np.ndarray:
-    """Sorted numbers of the distinct character n-grams of orders 1 to 3 of the whole text, each order apart."""
-    codes, out, base = _codes(text, alphabet), [], 0
+def ngrams(codes: np.ndarray) -> np.ndarray:
+    """Sorted numbers of the distinct n-grams of orders 1 to 3 of a whole text's _codes(), each order apart."""
+    out, base = [], 0
     gram = np.zeros(len(codes), dtype=np.int64)
     for n in ORDERS:
         seen = np.zeros(SYMBOLS**n, dtype=bool)
@@ -54,23 +61,42 @@ class KernelModel:
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
     languages: list[str]
+    least: float = 0.0  # the likeness to its nearest landmarks that all but LOST of the known texts have
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        """Normalised presence kernel of texts with the landmarks, as one product of matrices."""
-        rows = np.zeros((len(texts), len(self.presence)), dtype=np.float32)
-        norm = np.ones(len(texts))
+    def shared(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many n-grams texts share with each landmark, as one product of matrices, how many they have, and the
+        share of their characters that are no rare letters."""
+        rows, own, plain = np.zeros((len(texts), len(self.presence)), dtype=np.float32), np.ones(len(texts)), np.ones(len(texts))
         for i, text in enumerate(texts):
-            grams = ngrams(text, self.alphabet)
-            norm[i] = max(1, len(grams))
+            codes = _codes(text, self.alphabet)
+            grams = ngrams(codes)
+            own[i] = max(1, len(grams))
+            plain[i] = 1 - ((codes >= SYMBOLS - RARE) & (codes < SYMBOLS - 1)).sum() / max(1, len(codes))
             at = self.columns[grams]
             rows[i, at[at >= 0]] = 1
-        return (rows @ self.presence) / np.sqrt(norm[:, None] * self.sizes[None, :])
+        return rows @ self.presence, own, plain
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """Normalised presence kernel of texts with the landmarks."""
+        shared, own, _ = self.shared(texts)
+        return shared / np.sqrt(own[:, None] * self.sizes[None, :])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Soft-max of the one-versus-rest regressions, rows adding up to 1."""
-        raw = 6.0 * (self.kernel(texts) @ self.weights + self.bias)
+        """Soft-max of the one-versus-rest regressions, made less for texts that are like none of the landmarks: one
+        that is half as like as `least` has half the score. Other scripts, which share next to nothing with any
+        landmark, come out near 0, whatever language they are least unlike."""
+        shared, own, plain = self.shared(texts)
+        raw = 6.0 * (shared / np.sqrt(own[:, None] * self.sizes[None, :]) @ self.weights + self.bias)
         raw = np.exp(raw - raw.max(axis=1, keepdims=True))
-        return raw / raw.sum(axis=1, keepdims=True)
+        known = np.minimum(1.0, likeness(shared, own, plain) / max(self.least, 1e-9))
+        return raw / raw.sum(axis=1, keepdims=True) * known[:, None]
+
+
+def likeness(shared: np.ndarray, own: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """The share of a text's n-grams that a landmark has, as the mean of the NEAREST ones; less by its rare letters,
+    of which the numbers tell little."""
+    n = min(NEAREST, shared.shape[1])
+    return np.partition(shared, shared.shape[1] - n, axis=1)[:, -n:].mean(axis=1) / own * plain
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel | None:
@@ -78,11 +104,13 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     if not texts:
         return None
     counted = Counter(c for t in texts for c in t.lower())
-    alphabet = {ord(c): i for i, (c, _) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 8])}
+    alphabet = {ord(c): i for i, (c, _) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - RARE])}
     names = sorted(set(languages))
     by = {name: [i for i, x in enumerate(languages) if x == name] for name in names}
-    picked = sorted(i for rows in by.values() for i in rows[: max(1, landmarks // len(names))])
-    grams = [ngrams(texts[i], alphabet) for i in picked]
+    # Landmarks of a language are those of its texts with the smallest hashes, so that they are spread over it.
+    spread = [(zlib.crc32(t.encode("utf-8", "surrogatepass")), t) for t in texts]
+    picked = sorted(i for rows in by.values() for i in sorted(rows, key=spread.__getitem__)[: max(1, landmarks // len(names))])
+    grams = [ngrams(_codes(texts[i], alphabet)) for i in picked]
     used = np.unique(np.concatenate(grams))
     columns = np.full(sum(SYMBOLS**n for n in ORDERS), -1, dtype=np.int32)
     columns[used] = np.arange(len(used))
@@ -101,6 +129,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     x, y = features - mean, target - centre
     w = np.linalg.solve((x * share[:, None]).T @ x + ridge * np.eye(x.shape[1]), (x * share[:, None]).T @ y)
     model.weights, model.bias = (root @ w).astype(np.float32), centre - mean @ w
+    model.least = float(np.quantile(np.concatenate([likeness(*model.shared(texts[at : at + 256])) for at in range(0, len(texts), 256)]), LOST))
     return model
 
 
@@ -117,7 +146,8 @@ def learning_sample(docs: DataFrame, per_language: int, id_col: str, text_col: s
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col(lang_col) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return known.filter(hash_share(id_col, 7) < share).select(F.col(text_col), F.col(lang_col))
+    few = known.filter(hash_share(id_col, 7, text_col) < share)
+    return few.select(F.col(text_col), F.col(lang_col)).distinct()  # a row that is repeated counts once
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
