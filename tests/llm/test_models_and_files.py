@@ -106,6 +106,34 @@ def test_warc_scans_may_be_split_differently(spark, tmp_path):
     assert sorted(bodies) == sorted(responses + [b""] * (len(pages) - len(responses)))
 
 
+def test_pointer_jumping(spark):
+    """Chains through fake candidates, pointers into the middle of runs, dead ends; against a plain walk."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    for file in range(12):
+        at = sorted({0, *(rng.randint(1, 4000) for _ in range(300))}) if file else [0]
+        to = {a: (rng.choice([x for x in at if x > a][:4]) if rng.random() < 0.4 and a < at[-1] else next((x for x in at if x > a), a + 5)) for a in at}
+        if file % 5 == 4:
+            to[at[150]] = at[150] + 1 if at[150] + 1 not in to else at[-1] + 9
+        rows += [(file, a, b) for a, b in to.items()]
+        here = 0
+        while here in to:
+            want.add((file, here))
+            here = to[here]
+    got = warc.reachable(spark.createDataFrame(rows, "_file long, _at long, _to long").repartition(3)).collect()
+    assert len(got) == len(want) and {(r._file, r._at) for r in got} == want
+    assert warc.reachable(spark.createDataFrame([(1, 5, 9)], "_file long, _at long, _to long")).count() == 0
+
+
+def test_warc_odd_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a", 1), (1, "u", "a", 2), (2, None, "a", 3), (None, "v", "a", 4), (None, "v", None, 5), (7, "w", "", 6)], "page_id long, url string, html string, _digest int")
+    warc.write_warc(pages, str(tmp_path / "odd"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.page_index(warc.index_warc(spark, str(tmp_path / "odd"))).collect()), key=str)
+    assert got == sorted([(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (None, "revisit", 7), (7, "response", None)], key=str)
+    warc.write_warc(pages.limit(0), str(tmp_path / "none"))
+    assert warc.page_index(warc.index_warc(spark, str(tmp_path / "none"))).count() == 0
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -215,6 +243,74 @@ def test_language(spark):
     assert language.train(docs.limit(0)) is None
 
 
+def test_kernel_against_sets():
+    """The batched products against n-gram sets, the whole model against a dense kernel ridge regression."""
+    rng = random.Random(8)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 40)))
+    texts, langs = [say("abcde") for _ in range(30)] + [say("defgh") for _ in range(30)] + [say("klmé日") for _ in range(20)], ["a"] * 30 + ["b"] * 30 + ["c"] * 20
+    model = language.fit(texts, langs, landmarks=240)  # all texts are landmarks: the map loses nothing
+    sets = [{(n, t.lower()[i : i + n]) for n in language.ORDERS for i in range(len(t) - n + 1)} for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: i)
+    plain = np.array([[len(a & sets[j]) / (len(a) * len(sets[j])) ** 0.5 for j in order] for a in sets])
+    assert np.abs(model.kernel(texts) - plain).max() < 1e-5
+    share = 1 / np.array([langs.count(x) for x in langs])
+    values, vectors = np.linalg.eigh(plain)
+    z = plain @ (vectors / np.sqrt(np.maximum(values, 1e-6)))
+    y = np.where(np.array(langs)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    mean, centre = (share @ z) / share.sum(), (share @ y) / share.sum()
+    w = np.linalg.solve(((z - mean).T * share) @ (z - mean) + language.RIDGE * np.eye(len(texts)), ((z - mean).T * share) @ (y - centre))
+    assert np.abs(model.kernel(texts) @ model.weights + model.bias - ((z - mean) @ w + centre)).max() < 0.02
+    far = ["Привет мир, это обычный русский текст", "这是一个关于天气的普通中文文本", "Αυτό είναι ένα συνηθισμένο κείμενο"]
+    assert model.scores(far).max() < 0.5 * model.scores(texts).max(axis=1).mean()
+
+
+def test_known_languages_stay_and_other_scripts_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    assert language.train(docs.union(docs).repartition(5)).languages == model.languages
+    far = ["Это обычный русский текст о погоде и людях, которые живут в городе.", "这是一个关于天气和城市的普通中文文本。", "Αυτό είναι ένα συνηθισμένο ελληνικό κείμενο.", "هذا نص عربي عادي عن الطقس والمدينة"]
+    odd = spark.createDataFrame([(10**9 + i, t, None, None, None) for i, t in enumerate([*far, "12 34", None])], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), SF).select("doc_id").collect()}
+    has_letter = {r.doc_id for r in docs.select("doc_id", "text").collect() if r.text and any(map(str.isalpha, r.text))}
+    assert kept == has_letter
+    extra = docs.limit(20).selectExpr("doc_id", "text", "lang AS _said", "1 AS score")
+    assert language.with_language(extra, model).columns == ["doc_id", "text", "_said", "lang_pred", "score"]
+
+
+def test_newton_steps_end_at_the_minimum():
+    rng = np.random.default_rng(5)
+    x, y = rng.random((80, 6)), (rng.random(80) < 0.4).astype(float)
+    weigh, flat = np.full(80, 1 / 80), np.diag(np.linspace(0.01, 0.5, 6))
+    w, b = toxicity.descend(x, y, weigh, flat)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (weigh * (p - y)) + flat @ w).max() < 1e-5 and abs((weigh * (p - y)).sum()) < 1e-5
+
+
+def test_counterfactuals():
+    rng = np.random.default_rng(2)
+    kinds = {t: k for k, words in toxicity.IDENTITY.items() for t in words}
+    for text in ("The Women and MUSLIMS met.", "viele frauen dort", "les hommes"):
+        other = toxicity.swapped(text, rng, toxicity.IDENTITY)
+        for a, b in zip(text.split(), other.split(), strict=True):
+            k = kinds.get(a.lower().strip("."))
+            assert a == b if k is None else b != a and (kinds.get(b.lower().strip(".")) == k or b.lower().strip(".") == toxicity.NEUTRAL[k[:2]])
+    assert toxicity.swapped("no group here", rng, toxicity.IDENTITY) is None
+    texts = ["One. Old men came.\nTwo.", "nobody", "", None or " "]
+    pairs = toxicity.pairs_of(texts, rng, toxicity.IDENTITY, most=9)
+    assert len(pairs) == 9 and pairs.count(pairs[0]) < 9 and any(a.strip() == "Old men came." for a, _ in pairs)
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(i, f"you idiot moron number {i}" if i % 2 else f"a fine day number {i}", 1) for i in range(400)] + [(7, "you idiot", 2), (None, None, 3), (401, "", 4)], "doc_id long, text string, _y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 1)] * 50 + [(5, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.with_toxicity(docs, toxicity.train(docs, labels))
+    assert got.columns == ["doc_id", "text", "_y", "score"] and got.count() == docs.count()
+    assert all((r.score >= 0.5) == ("idiot" in (r.text or "")) and 0 <= r.score <= 1 for r in got.collect())
+    assert toxicity.train(docs, labels.limit(0)) is None
+    assert [r.score for r in toxicity.with_toxicity(docs.limit(2), None).collect()] == [0.0, 0.0]
+    assert toxicity.with_toxicity(docs.limit(0), None).count() == 0
+
+
 def test_toxicity_and_identity_terms(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
     scored = toxicity.with_toxicity(docs, toxicity.train(docs, labels)).join(labels, "doc_id").collect()
