@@ -13,7 +13,7 @@ from .. import config
 #: What counts as white space at the ends of a cell; SQL's trim() cuts blanks alone.
 _WHITE = r"[\s\x1C-\x1F\x85\p{Z}]"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_YMD8 = r"^(\d{4})(\d{2})(\d{2})$"
+YMD8 = r"^(\d{4})(\d{2})(\d{2})$"
 _ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$"
 _MDY = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})(?:[ T].*)?$"
 
@@ -42,9 +42,15 @@ def same_cent(a: Column, b: Column, tolerance: float = config.CENT) -> Column:
 
 
 def to_amount(text: Column) -> Column:
-    """Statement amount as a number; null for anything else. Parentheses around the whole mean minus."""
+    """Statement amount as a number; null for anything else. Parentheses around the whole mean minus.
+
+    Most cells never meet the patterns: what begins with a letter is no amount, and a bare number is one as it is.
+    """
 
     def of(cell: Column) -> Column:
+        return F.when(cell < "A", F.when(cell.rlike(_NUMBER), cell.try_cast("double")).otherwise(decorated(cell)))
+
+    def decorated(cell: Column) -> Column:
         bare = strip(F.regexp_replace(F.regexp_replace(cell, r"^[()]+|[()]+$", ""), "[,$%]", ""))
         sign = F.when(cell.startswith("(") & cell.endswith(")"), -1.0).otherwise(1.0)
         return let(bare, lambda x: F.when(x.rlike(_NUMBER), sign * x.try_cast("double")))
@@ -65,7 +71,7 @@ def repair_text(text: Column) -> Column:
 def to_mdy(text: Column) -> Column:
     """Any known date form as mm/dd/yyyy, times cut; "" stays, unknown or out of range is null."""
     # Year, month and day; a fourth part marks years that may have two digits.
-    forms = ((_YMD8, "$1|$2|$3"), (_ISO, "$1|$2|$3"), (_MDY, "$3|$1|$2|short"))
+    forms = ((YMD8, "$1|$2|$3"), (_ISO, "$1|$2|$3"), (_MDY, "$3|$1|$2|short"))
 
     def shown(part: Column) -> Column:
         year, month, day = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
@@ -75,7 +81,8 @@ def to_mdy(text: Column) -> Column:
 
     def of(cell: Column) -> Column:
         flat = F.coalesce(*[F.when(cell.rlike(p), F.regexp_replace(cell, p, order)) for p, order in forms])
-        return F.when(cell == "", F.lit("")).otherwise(let(F.split(flat, r"\|"), shown))
+        dated = (cell >= "0") & (cell < ":")  # all forms begin with a digit
+        return F.when(cell == "", F.lit("")).when(dated, let(F.split(flat, r"\|"), shown))
 
     return let(F.coalesce(strip(text), F.lit("")), of)
 
@@ -86,7 +93,7 @@ def first_of_mdy(text: Column) -> Column:
 
 
 def is_ymd8(text: Column) -> Column:
-    return strip(text).rlike(_YMD8)
+    return strip(text).rlike(YMD8)
 
 
 def format_amount(number: Column, decimals: int = 2) -> Column:

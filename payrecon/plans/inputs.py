@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
+
 COLUMNS = ("Policy", "Insured Name", "Eff. Date", "Gross", "Comm%", "Comm $")
 
 #: One row per order line, as the text a statement prints.
@@ -46,9 +48,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a query whose {names} are tables of the folder."""
-    return spark.sql(sql, **{name: read(spark, sf_dir, name) for name in set(re.findall(r"\{(\w+)\}", sql))})
+def view(spark: SparkSession, sf_dir: str, sql: str, rows: DataFrame | None = None) -> DataFrame:
+    """The rows of a query whose {names} are tables of the folder; `rows` stands for STMT_ROWS where it is given."""
+    given = {} if rows is None else {"stmt_rows": rows}
+    sql = sql.replace(f"({STMT_ROWS})", "{stmt_rows}") if given else sql
+    return spark.sql(sql, **given, **{name: read(spark, sf_dir, name) for name in set(re.findall(r"\{(\w+)\}", sql)) - set(given)})
 
 
 def plain(sql: str) -> str:
@@ -60,8 +64,13 @@ def stmt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, STMT_ROWS)
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, STATEMENTS)
+def settled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STMT_ROWS computed once, for queries that look at them several times."""
+    return settled(stmt_rows(spark, sf_dir), "statement-rows")
+
+
+def statements(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return view(spark, sf_dir, STATEMENTS, rows)
 
 
 def melt(rows: DataFrame, wide=_WIDE, names=COLUMNS) -> DataFrame:

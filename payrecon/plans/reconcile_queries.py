@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scalars as S
 from ..operators import canonical, reconcile, totals
+from ..sources.store import settled
 from . import inputs as I
 
 _TOTAL_WIDE = ("policy", "insured", "eff", "gross", "rate", "comm")
 
 
 def column_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stated = I.melt(I.view(spark, sf_dir, I.TOTALS), _TOTAL_WIDE)
-    return reconcile.column_checks(I.cells(spark, sf_dir), stated).select("stmt_id", "col_no", "label", "rows_total", "stated_total", "ok")
+    rows = I.settled_rows(spark, sf_dir)
+    stated = I.melt(I.view(spark, sf_dir, I.TOTALS, rows), _TOTAL_WIDE)
+    return reconcile.column_checks(I.melt(rows), stated).select("stmt_id", "col_no", "label", "rows_total", "stated_total", "ok")
 
 
 _OFF = "CASE WHEN cast(stmt_id AS bigint) % 13 = 0 AND row_no = 1 THEN '9.99' ELSE comm END AS comm"
@@ -29,18 +31,14 @@ def rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.rate_check(cells, columns).select("stmt_id", "row_no", "base", "rate", "result", "message")
 
 
-def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = F.array(*[F.lit(c) for c in I.COLUMNS])
-    return I.statements(spark, sf_dir).withColumn("columns", columns)
-
-
-def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped = canonical.canonical_map(_statements(spark, sf_dir)).select("stmt_id", F.col("mapping.`Commission Amount`").alias("commission_column"))
-    return reconcile.exported_total(I.cells(spark, sf_dir), mapped.filter("commission_column IS NOT NULL"))
+def _exported(stmts: DataFrame, rows: DataFrame) -> DataFrame:
+    mapped = canonical.canonical_map(stmts.withColumn("columns", F.array(*[F.lit(c) for c in I.COLUMNS]))).select("stmt_id", F.col("mapping.`Commission Amount`").alias("commission_column"))
+    return reconcile.exported_total(I.melt(rows), mapped.filter("commission_column IS NOT NULL"))
 
 
 def exported_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exported(spark, sf_dir).select("stmt_id", "commission_column", "exported_total")
+    rows = I.settled_rows(spark, sf_dir)
+    return _exported(I.statements(spark, sf_dir, rows), rows).select("stmt_id", "commission_column", "exported_total")
 
 
 def declared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +49,12 @@ def declared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every statement, from its cells, its file name and its lines."""
-    stmts = I.statements(spark, sf_dir).select("stmt_id", "filename", "template", "segment", "n_rows")
+    lines = I.settled_rows(spark, sf_dir)
+    stmts = settled(I.statements(spark, sf_dir, lines).select("stmt_id", "filename", "template", "segment", "n_rows"), "statements")
     files = stmts.withColumn("filename_total", S.filename_amount(F.col("filename")))
-    declared = reconcile.declared_totals(I.view(spark, sf_dir, I.LINES))
+    declared = reconcile.declared_totals(I.view(spark, sf_dir, I.LINES, lines))
     chosen = reconcile.choose_reference(declared, files)
-    rows = files.join(_exported(spark, sf_dir), "stmt_id", "left").join(chosen, "stmt_id", "left")
+    rows = files.join(_exported(stmts, lines), "stmt_id", "left").join(chosen, "stmt_id", "left")
     return reconcile.payout_verdict(rows)
 
 
@@ -101,7 +100,7 @@ def canonical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.melt(I.view(spark, sf_dir, I.CLOSED_ROWS), _TOTAL_WIDE)
+    return I.melt(I.view(spark, sf_dir, I.CLOSED_ROWS, I.settled_rows(spark, sf_dir)), _TOTAL_WIDE)
 
 
 def split_trailing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
