@@ -52,6 +52,18 @@ def unused(name: str, *dfs: DataFrame) -> str:
     return name
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of texts that go to a Python worker at a time: Spark's own 64 MB take several times that on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES, unless it is lower already."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: Bits of a filter of keys: 4 MB at most, whatever the number of keys.
 FILTER_BITS = 1 << 25
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parted, stored, table, unused
+from .common import bounded_batches, parted, stored, table, unused
 
 WINDOW = 13
 GRAM = 5
@@ -173,6 +173,7 @@ def contamination(
     (false alarms meet no partner in the join); the test side is a stored table, so Spark broadcasts it only
     below the session's threshold; what is grouped per document are its hits. Texts are never shuffled.
     """
+    bounded_batches(docs.sparkSession)
     tests = stored(benchmark_marks(benchmark, window, k, item_col, item_text_col), "winnow-tests")
     lengths = sorted(r[0] for r in tests.filter(F.col("_len") < window).select("_len").distinct().collect())  # fewer than `window`
     pieces = docs.sparkSession.sparkContext.broadcast(_filter_of(tests))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shipped, crc_of_id, hash_share, table, unused
+from .common import Shipped, bounded_batches, crc_of_id, hash_share, table, unused
 
 #: The bounded sample that the model is fitted on, and how many of its texts are landmarks.
 PER_LANGUAGE, LANDMARKS = 400, 160
@@ -164,6 +164,7 @@ def with_language(docs: DataFrame, model: KernelModel | None, text_col: str = "t
 
     At scale: one narrow pass; the model is a bounded number of landmarks, whatever the size of the table.
     """
+    bounded_batches(docs.sparkSession)
     shared = Shipped(docs.sparkSession, model)
 
     @F.arrow_udf("struct<lang: string, score: double>")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost, calibrate, least_threshold
-from .common import Shipped, hash_share, table, unused
+from .common import Shipped, bounded_batches, hash_share, table, unused
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -270,6 +270,7 @@ def labelled(text: str) -> list[Example]:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> Judge | None:
     """Trees and threshold from the candidates of up to some `sample_docs` documents, of which the driver gets
     `sample_candidates` rows of numbers at most; see fit()."""
+    bounded_batches(docs.sparkSession)
     n = max(1, docs.count())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +336,7 @@ def find_personal_data(docs: DataFrame, model: Judge | None, text_col: str = "te
     replaced. At scale: one narrow pass, linear in a text (a text of numbers has some candidates for each of them);
     the model is a few trees.
     """
+    bounded_batches(docs.sparkSession)
     shared = Shipped(docs.sparkSession, model)
 
     @F.arrow_udf(f"struct<base_spans: {_SPANS}, all_spans: {_SPANS}>")

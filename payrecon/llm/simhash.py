@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parted, stored, table, unused
+from .common import bounded_batches, parted, stored, table, unused
 from .graph import components
 
 SEED = 42
@@ -38,6 +38,8 @@ def simhash(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`_id, _th, _fp` of every row, stored, so that texts are read once."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([simhash(x.as_py()) for x in texts], pa.int64())

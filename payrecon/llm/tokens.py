@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import bounded_batches, scratch, table
 
 #: What one Python worker remembers of words and their ids, in bytes; and the text that is encoded at a time.
-KEPT_BYTES, AT_ONCE = 16 << 20, 8 << 20
+KEPT_BYTES, AT_ONCE = 12 << 20, 4 << 20
 #: Longer words are encoded each time; with each portion of text the worth of a word that was not seen fades.
 LONGEST_KEPT, FADES = 64, np.float32(0.97)
 #: The split of the tokenizer's file, with white space as Unicode has it; fixed values.
@@ -181,6 +181,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     At scale: one shuffle by ranges of the id; encoding comes after it, so nothing is encoded twice; each
     task writes its range, so files are in id order.
     """
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shipped, crc_of_id, hash_share, table
+from .common import Shipped, bounded_batches, crc_of_id, hash_share, table
 
 #: The bounded sample of labelled rows: so many of each label, about.
 PER_LABEL = 2500
@@ -202,6 +202,7 @@ def with_toxicity(docs: DataFrame, model: ToxicModel | None, text_col: str = "te
     repeated rows get the same score; an empty table gives an empty table; an input column named as the output
     is replaced. At scale: one narrow pass with a model of fixed size.
     """
+    bounded_batches(docs.sparkSession)
     shared = Shipped(docs.sparkSession, model)
 
     @F.arrow_udf("double")
