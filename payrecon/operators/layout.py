@@ -98,6 +98,11 @@ def assign_bands(lines: DataFrame, gap: float = config.BAND_GAP) -> DataFrame:
     return marked.withColumn("band_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
+def band_ends(lined: DataFrame) -> DataFrame:
+    """`stmt_id, page_no, band_no, band_end` of all bands."""
+    return lined.groupBy(*PAGE, "band_no").agg(F.max("pos").alias("band_end"))
+
+
 def header_bands(lined: DataFrame) -> DataFrame:
     """`stmt_id, page_no, band_no, band_end` of bands that look like a header: labels, not figures."""
     bands = lined.groupBy(*PAGE, "band_no").agg(F.count(F.lit(1)).alias("n"), F.count_if("alpha").alias("a"), F.count_if("num").alias("f"), F.max("pos").alias("band_end"))

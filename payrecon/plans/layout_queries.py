@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import canonical, layout, ocr
+from ..sources.store import settled
 from . import inputs as I
+from .statements import read_word_statements
 
 #: (text, x0, x1) of each word of a data line; header words have a line of their own.
 _DATA = (("policy", 10, 58), ("insured", 70, 150), ("eff", 170, 210), ("gross", 225, 262), ("rate", 284, 306), ("comm", 328, 360))
@@ -44,8 +46,17 @@ FROM ({BOXES}) b
 """
 
 
-def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.assign_lines(layout.normalise_axes(I.view(spark, sf_dir, WORDS)))
+#: By order: the template's header and rows; a header without one of its words; rows that it does not know; a letterhead
+#: alone; and pages of which nothing is left.
+VARIED = f"""
+SELECT w.* EXCEPT (text), CASE WHEN k % 4 = 2 AND text IN ('Invoice', 'eciovnI') THEN 'Ref' WHEN k % 4 = 3 AND word_no >= 200 AND word_no < 9000 AND word_no % 10 = 0
+  THEN CASE WHEN rotated THEN reverse('#' || substr(reverse(text), 3)) ELSE '#' || substr(text, 3) END ELSE text END AS text
+FROM (SELECT *, cast(stmt_id AS bigint) AS k FROM ({WORDS}) a) w WHERE k % 16 <> 7 AND (k % 16 <> 11 OR word_no < 100)
+"""
+
+
+def _lined(spark: SparkSession, sf_dir: str, words: str = WORDS) -> DataFrame:
+    return layout.assign_lines(layout.normalise_axes(I.view(spark, sf_dir, words, I.settled_rows(spark, sf_dir))))
 
 
 def normalise_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +118,17 @@ def layout_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.layout_fallback(matched, counts, picked).select("stmt_id", "how", "template", "table_no")
 
 
+def word_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from words to verdicts, over templates, unknown headers, unknown rows, no table and no words."""
+    rows = I.settled_rows(spark, sf_dir)
+    files = settled(I.statements(spark, sf_dir, rows).filter("n_rows > 0").select("stmt_id", "filename"), "word-files")
+    made = read_word_statements(files, I.view(spark, sf_dir, VARIED, rows).drop("k"))[0]
+    return made.select(
+        "stmt_id", "how", "template", "n_rows", F.coalesce("n_checks", F.lit(0)).cast("long").alias("n_checks"), F.coalesce("passed", F.lit(0)).cast("long").alias("passed"),
+        "commission_column", "exported_total", "filename_total", "status", F.size("warnings").cast("long").alias("n_warnings"),
+    )
+
+
 READINGS = """
 SELECT cast(user_id AS string) AS stmt_id, cast(event_id % 3 AS int) AS page_no, cast((event_id / 3) % 4 AS int) AS try_no, cast((event_id / 3) % 4 AS int) * 90 AS angle,
   cast(event_id AS int) AS word_no, CASE WHEN event_id % 17 = 0 THEN '  ' ELSE ' ' || event_type || ' ' END AS text,
@@ -149,7 +171,7 @@ def ocr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalise_axes, assign_lines, merge_header_bands, assign_bands, header_columns, assign_cells, match_templates, template_rows, pick_layout, layout_fallback,
+        word_statements, normalise_axes, assign_lines, merge_header_bands, assign_bands, header_columns, assign_cells, match_templates, template_rows, pick_layout, layout_fallback,
         filter_ocr_words, ocr_readings, pick_rotation, ocr_setting_hits, ocr_files,
     )
 }
@@ -164,6 +186,15 @@ _TOK = f"""WITH t AS ({I.plain(TOKENS)}), c AS (SELECT *, replace(trim(text), ',
 p AS (SELECT filename, amt, setting, page_no, count(DISTINCT x) AS words, avg(conf::DOUBLE) AS mean, bool_or(coalesce(contains(x, format('{{:.2f}}', abs(amt))), false)) AS found FROM c GROUP BY ALL),
 f AS (SELECT filename, amt, setting, sum(words)::BIGINT AS words, avg(mean) AS mean, bool_or(found) AS found FROM p GROUP BY ALL)"""
 SQL = {
+    "word_statements": f"""{I.WITH}, s AS ({I.plain(I.SUMS)}), f AS (SELECT s.*, filename, {I.sql_filename_amount('filename')} AS filename_total, {I.sql_carrier('filename')} AS carrier,
+  k % 16 IN (7, 11) AS bare, k % 4 IN (2, 3) AS auto, k % 3 <> 2 AS closed FROM s JOIN statements USING (stmt_id)),
+g AS (SELECT *, CASE WHEN bare THEN NULL WHEN auto THEN 'auto-detected' ELSE 'template' END AS how, CASE WHEN NOT bare THEN comm::DOUBLE END AS exported_total FROM f),
+h AS (SELECT *, CASE WHEN exported_total IS NULL THEN 'no_amounts' WHEN filename_total IS NULL THEN 'no_reference' WHEN abs(exported_total - filename_total) < 0.01 THEN 'match' ELSE 'mismatch' END AS status FROM g)
+SELECT stmt_id, how, CASE how WHEN 'template' THEN 'Chris Leef General Agency' WHEN 'auto-detected' THEN carrier || ' (auto-detected)' ELSE '' END AS template,
+  CASE WHEN bare THEN 0 ELSE n END::BIGINT AS n_rows, CASE WHEN closed AND NOT bare THEN 2 ELSE 0 END::BIGINT AS n_checks, CASE WHEN closed AND NOT bare THEN CASE WHEN k % 7 = 0 THEN 1 ELSE 2 END ELSE 0 END::BIGINT AS passed,
+  CASE WHEN NOT bare THEN 'Comm $' END AS commission_column, exported_total, filename_total, status,
+  (CASE WHEN bare OR NOT closed OR (auto AND k % 7 = 0) THEN 1 ELSE 0 END + CASE WHEN how = 'template' THEN coalesce(turned, 0) ELSE 0 END + CASE WHEN status IN ('mismatch', 'no_reference') THEN 1 ELSE 0 END)::BIGINT AS n_warnings
+FROM h LEFT JOIN (SELECT stmt_id, count(*) AS turned FROM stmt_rows WHERE comm_num < 0 GROUP BY stmt_id) z USING (stmt_id)""",
     "normalise_axes": f"{_B} SELECT stmt_id, w::INTEGER AS word_no, base::DOUBLE AS pos, lo::DOUBLE AS lo, hi::DOUBLE AS hi, text AS txt FROM b",
     "assign_lines": f"{_B} SELECT stmt_id, w::INTEGER AS word_no, line::INTEGER AS line_no, row_number() OVER (PARTITION BY stmt_id, line ORDER BY lo, base, w)::INTEGER AS word_in_line FROM b",
     "merge_header_bands": f"{_B} SELECT stmt_id, w::INTEGER AS word_no, CASE WHEN line = 0 THEN 0 WHEN line <= 2 THEN 1 ELSE line - 1 END::INTEGER AS band_no FROM b",

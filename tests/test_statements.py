@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from payrecon import config
 from payrecon.functions import scalars as S
 from payrecon.operators import canonical, export, layout, ocr, reconcile
-from payrecon.plans.statements import read_exports
+from payrecon.plans.statements import payloads, read_exports, read_word_statements
 from payrecon.sources import files as sources
+from payrecon.sources.payload import from_payload
 from payrecon.streaming import ingest
 
 
@@ -104,12 +105,62 @@ def test_exports(spark, tmp_path):
     assert set(got) == set(FILES) - {"empty.csv"}  # Spark's reader passes over files of no bytes
     acme, tab = got["Acme 30.00.csv"], got["Tab 3.00.tsv"]
     assert (acme.status, acme.exported_total, acme.n_rows) == ("match", 30.0, 2)
-    assert (tab.status, tab.exported_total, tab.n_rows, tab.checks, tab.passed, tab.delimiter) == ("match", 3.0, 2, 2, 2, "tab")
+    assert (tab.status, tab.exported_total, tab.n_rows, tab.n_checks, tab.passed, tab.delimiter) == ("match", 3.0, 2, 2, 2, "tab")
+    assert [(c.label, c.rows_total, c.ok) for c in tab.checks] == [("Commission", 3.0, True), ("Premium", 30.0, True)] and tab.totals["Policy"] == "Totals"
+    assert [(n.column, n.action) for n in tab.cleanup][-1] == ("Totals", "dropped")
+    assert [(n.column, n.action) for n in acme.cleanup][-1] == ("CASH DISBURSED", "dropped") and ("Comm %", "rescaled") in [(n.column, n.action) for n in acme.cleanup]
+    kept = {r.filename: from_payload_row for r in payloads(statements, cells).select("filename", from_payload(F.col("payload")).alias("p")).collect() for from_payload_row in [r.p]}
+    assert [r["Commission"] for r in kept["Acme 30.00.csv"].rows] == ["10.00", "20.00"] and kept["Tab 3.00.tsv"].payout.status == "match"
     assert got["Bad 9.00.txt"].n_rows == 1 and got["Bad 9.00.txt"].status == "no_amounts"
     row = {r.col_name: r.value for r in cells.filter((F.col("stmt_id") == acme.stmt_id) & (F.col("row_no") == 1)).collect()}
     assert row == {"Policy": "A1", "Eff Date": "07/28/2026", "Premium": "100.00", "Comm %": "10.0", "Commission": "10.00"}
 
 
+def test_exports_keep_a_row_for_what_is_not_read(spark, tmp_path, monkeypatch):
+    write(tmp_path, ["Acme 30.00.csv", "copy.csv"])
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF")
+    (tmp_path / "quote.csv").write_bytes(b"a,b\nx," + b"y" * 200_000 + b"\n")  # a field beyond the reader's limit
+    files = sources.with_identity(spark.read.format("binaryFile").load(str(tmp_path)))
+    files = files.withColumn("length", F.when(F.col("filename") == "copy.csv", 10**9).otherwise(F.col("length")))
+    got = {r.filename: r for r in read_exports(files)[0].collect()}
+    assert {k: v.status for k, v in got.items()} == {"Acme 30.00.csv": "match", "copy.csv": "too_large", "scan.pdf": "rejected", "quote.csv": "crash"}
+    assert got["quote.csv"].warnings[0].startswith("CRASH: ") and "40 MB" in got["copy.csv"].warnings[0]
+    assert read_exports(files.limit(0))[0].count() == 0
+
+
+def words_at(stmt, page, rows):
+    """Word rows of lines of (text, x0, x1), eleven points apart."""
+    made = [(stmt, page, 100 * i + j, t, float(a), float(b), 20.0 + 20.0 * i, 28.0 + 20.0 * i, False) for i, line in enumerate(rows) for j, (t, a, b) in enumerate(line)]
+    return made
+
+
+def test_words_become_statements(spark):
+    head = [("Policy", 10, 40), ("Insured", 70, 110), ("Invoice", 130, 160), ("Gross", 230, 260), ("Comm%", 280, 312), ("Comm", 330, 352), ("$", 353, 358)]
+    line = lambda p, g, r, c: [(p, 10, 60), ("Ann", 70, 90), ("7", 135, 140), (g, 232, 258), (r, 285, 310), (c, 332, 358)]
+    total = [("Totals", 10, 40), ("300.00", 230, 260), ("30.00", 332, 358)]
+    rows = words_at("t", 1, [head, line("AB1234", "100.00", "10", "10.00"), line("AB1235", "200.00", "10", "20.00"), total, [("Net", 10, 30), ("Amount:", 32, 60), ("$30.00", 70, 100)]])
+    rows += words_at("a", 2, [[("Client", 10, 40), ("Premium", 230, 260), ("Commission", 330, 358)], *[[(n, 10, 40), (g, 232, 258), (c, 335, 355)] for n, g, c in (("Ann", "1.00", "2.00"), ("Bob", "3.00", "4.00"))]])
+    rows += words_at("f", 1, [head, line("#1", "5.00", "10", "0.50"), line("#2", "7.00", "10", "0.70")])
+    rows += words_at("n", 1, [[("only", 10, 40), ("prose", 50, 80)]])
+    rows += words_at("gone", 1, [head])
+    files = spark.createDataFrame([("t", "Leef 30.00.pdf"), ("a", "Auto 6.00.pdf"), ("f", "Else 1.30.pdf"), ("n", "None 1.00.pdf"), ("e", "Empty 2.00.pdf"), ("o", "Scan 6.00.pdf")], "stmt_id string, filename string")
+    scan = [("o", 1, t, 90 * t, w, x, "90" if t else "30", 100 * w, 100 * (w // 3), 80, 20) for t in (0, 1) for w, x in enumerate(["Name", "Premium", "Commission", "Ann", "1.00", "2.00", "Bob", "3.00", "4.00"])]
+    scan = [(a, b, c, d, e, x, k, 400 * (e % 3), i, 300, j) for a, b, c, d, e, x, k, h, i, _, j in scan]
+    words = spark.createDataFrame(rows, sources.WORDS)
+    readings = spark.createDataFrame(scan, "stmt_id string, page_no int, try_no int, angle int, word_no int, text string, conf string, left int, top int, width int, height int")
+    statements, cells = read_word_statements(files, words, readings)
+    got = {r.stmt_id: r for r in statements.collect()}
+    assert set(got) == {"t", "a", "f", "n", "e", "o"}
+    t, a, f = got["t"], got["a"], got["f"]
+    assert (t.how, t.status, t.n_rows, t.n_checks, t.passed, t.exported_total, t.statement_total) == ("template", "match", 2, 2, 2, 30.0, 30.0) and t.warnings == []
+    assert (a.how, a.template, a.status, a.n_rows) == ("auto-detected", "Auto (auto-detected)", "match", 2) and "unverified" in a.warnings[0]
+    assert (f.how, f.status, f.exported_total) == ("auto-detected", "mismatch", 1.2)
+    assert (got["n"].how, got["n"].status) == (None, "no_amounts") and "no table" in got["n"].warnings[0] and "No text layer" in got["e"].warnings[0]
+    assert (got["o"].how, got["o"].status, got["o"].exported_total) == ("auto-detected", "match", 6.0) and got["o"].warnings[0].startswith("Page 1: Read by OCR")
+    assert cells.filter("stmt_id = 't' AND col_name = 'Comm $'").count() == 2
+    assert read_word_statements(files.limit(0), words)[0].count() == 0
+
+
 def test_stream(spark, tmp_path):
     inbox, kept = tmp_path / "in", str(tmp_path / "history")
     inbox.mkdir()
@@ -119,7 +170,10 @@ def test_stream(spark, tmp_path):
     rows = {r.filename: r for r in ingest.read_history(spark, kept).collect()}
     assert set(rows) == {"Acme 30.00.csv", "copy.csv", "copy2.csv", "Tab 3.00.tsv"}
     assert rows["copy2.csv"].first_copy == rows["copy.csv"].id and rows["copy.csv"].first_copy is None
-    assert rows["Acme 30.00.csv"].failsafe == "match"
+    assert rows["Acme 30.00.csv"].failsafe == "match" and '"exported_total":30.0' in rows["Acme 30.00.csv"].payload
+    again = spark.read.format("binaryFile").load(str(inbox / "copy2.csv"))
+    ingest.ingest_batch(again, 1, kept)  # a batch that is run again knows the other batches' files only
+    assert {r.filename: r for r in ingest.read_history(spark, kept).collect()}["copy2.csv"].first_copy == rows["copy.csv"].id
 
 
 def test_tsv(spark, tmp_path):
