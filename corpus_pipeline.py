@@ -6,6 +6,8 @@ stages stands a Parquet table. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from payrecon.llm.language import UNKNOWN, train, with_language
 from payrecon.llm.mixing import OWN, mix_sources
 from payrecon.llm.simhash import drop_near_copies
 from payrecon.llm.tokens import default_tokenizer, token_index, write_tokens
+from payrecon.sources.store import made_paths, release, remove, shared_folder
 
 #: Texts in other scripts than those of the learnt languages have a score near 0 (Russian, Greek, Chinese or Arabic
 #: prose under 0.1); no held-out document of a learnt language in sf0.1 had less than 0.4, single words included.
@@ -63,12 +66,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each result written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each result written as Parquet and read again; what a stage has stored on its way
+    goes once its result is written, and its input too."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
+        mark = len(made_paths(spark))
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = scratch(spark, f"stage-{name}")
+            path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            release(spark, mark)
+            if before is not None:
+                remove(spark, before)
+            docs, before = spark.read.parquet(path), path
     return docs

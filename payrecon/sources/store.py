@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this process has made, by application, in order.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a local session without one gets a temporary folder."""
@@ -20,8 +23,35 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path for one run's files below the shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made_paths(spark).append(path)
+    return path
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read again: what follows uses it many times and does not compute it again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written once and read again: lineage is cut, lost executors lose nothing, the size is known, and what follows
+    uses it many times and does not compute it again."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made_paths(spark: SparkSession) -> list[str]:
+    """What new_path() has given out in this application and release() has not yet removed."""
+    return _MADE.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes the files of all paths given out after the first `since` ones: for callers that have written their
+    results, as tables that are still to be read from would be gone."""
+    paths = made_paths(spark)
+    for path in paths[since:]:
+        remove(spark, path)
+    del paths[since:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.statements import payloads, read_exports
 from ..sources.files import BINARY, with_identity
-from ..sources.store import settled
+from ..sources.store import made_paths, release, settled
 
 HISTORY = (
     "id string, filename string, carrier string, uploaded_at timestamp, row_count long, failsafe string, exported_total double, "
@@ -42,6 +42,7 @@ def ingest_batch(files: DataFrame, batch: int, history_path: str) -> None:
     itself is not.
     """
     spark, index = files.sparkSession, f"{history_path}/{_HASHES}"
+    mark = len(made_paths(spark))
     statements, cells = read_exports(with_identity(files))
     prefix = F.substring("sha256", 1, 2)
     within = settled(statements.groupBy("sha256").agg(F.min(F.struct("uploaded_at", "stmt_id")).alias("_new")).withColumn("prefix", prefix), "batch-hashes")
@@ -59,6 +60,7 @@ def ingest_batch(files: DataFrame, batch: int, history_path: str) -> None:
     rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch}")
     own = within.select(F.col("sha256").alias("source_sha256"), F.col("_new.stmt_id").alias("first_id"), F.col("_new.uploaded_at").alias("first_at"), "prefix")
     own.write.mode("overwrite").partitionBy("prefix").parquet(f"{index}/batch={batch}")
+    release(spark, mark)
 
 
 def ingest_stream(spark: SparkSession, inbox: str, history_path: str, checkpoint: str, **trigger) -> StreamingQuery:
