@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import new_path, settled
+
 #: A word of the space-separated kind: anything between ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -18,30 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    Where it is unset the session must be a local one (tests, bench); it then gets a temporary folder.
-    """
-    known = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for one run's files below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, lost executors lose nothing, and the size is known."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+scratch, stored = new_path, settled
 
 
 def unused(name: str, *dfs: DataFrame) -> str:
