@@ -11,14 +11,11 @@ from ..functions import scalars as S
 
 def template_table(spark: SparkSession, templates=config.TEMPLATES) -> DataFrame:
     """Templates as rows: `ord, template, header_tokens, row_first_cell, canonical, base_col, rate_col, result_col`."""
-    rows = [
-        (i, t.name, list(t.header_tokens), t.row_first_cell, t.canonical, *(t.rate_check or (None, None, None)))
-        for i, t in enumerate(templates)
-    ]
     schema = (
         "ord int, template string, header_tokens array<string>, row_first_cell string, canonical map<string, string>, "
         "base_col string, rate_col string, result_col string"
     )
+    rows = [{"ord": i, **t} for i, t in enumerate(templates)]
     return spark.createDataFrame(rows, schema)
 
 
@@ -53,7 +50,7 @@ def canonical_map(statements: DataFrame, templates=config.TEMPLATES, fields=conf
 
     A known template names its columns; otherwise they are inferred, once per distinct list of columns.
     """
-    known = F.create_map(*[x for t in templates for x in (F.lit(t.name), F.create_map(*[F.lit(y) for kv in t.canonical.items() for y in kv]))])
+    known = F.create_map(*[x for t in templates for x in (F.lit(t["template"]), F.create_map(*[F.lit(y) for kv in t["canonical"].items() for y in kv]))])
     named = F.try_element_at(known, F.coalesce(F.col("template"), F.lit("")))
     other = statements.filter(named.isNull()).select("columns").distinct()
     guessed = infer_canonical(other, fields=fields)

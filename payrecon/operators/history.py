@@ -79,9 +79,10 @@ def list_history(history: DataFrame, users: DataFrame, limit: int = 50, offset:
 
 
 def recent_ids(history: DataFrame, user_id: int | None, now, hours: int = config.RECENT_HOURS) -> DataFrame:
-    """`id, uploaded_at` of one uploader's (null: nobody's) statements of the last hours before `now`."""
+    """`id, uploaded_at` of one uploader's (null: nobody's) statements of the last hours before `now`, oldest
+    first: a working set of one person's day."""
     since = F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours))
-    return history.filter(F.col("user_id").eqNullSafe(F.lit(user_id)) & (F.col("uploaded_at") >= since)).select("id", "uploaded_at")
+    return history.filter(F.col("user_id").eqNullSafe(F.lit(user_id)) & (F.col("uploaded_at") >= since)).select("id", "uploaded_at").orderBy("uploaded_at", "id")
 
 
 def delete_statements(history: DataFrame, ids: DataFrame) -> DataFrame:
@@ -89,8 +90,14 @@ def delete_statements(history: DataFrame, ids: DataFrame) -> DataFrame:
     return history.join(ids.select("id"), "id", "left_anti")
 
 
+def found_ids(history: DataFrame, ids: DataFrame) -> DataFrame:
+    """`id` of the listed statements that there are: those that delete_statements() takes out; none if that does nothing."""
+    return history.join(ids.select("id"), "id", "left_semi").select("id").distinct()
+
+
 def distinct_carriers(history: DataFrame) -> DataFrame:
-    return history.filter(F.col("carrier") != "").select("carrier").distinct()
+    """The carriers that have a name, by name."""
+    return history.filter(F.col("carrier") != "").select("carrier").distinct().orderBy("carrier")
 
 
 def select_statements(history: DataFrame, ids: DataFrame) -> DataFrame:

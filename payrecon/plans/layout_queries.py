@@ -90,11 +90,11 @@ def assign_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.match_templates(_lined(spark, sf_dir), canonical.template_table(spark)).select("stmt_id", "page_no", "band_no", "template")
+    return layout.match_templates(_lined(spark, sf_dir, VARIED), canonical.template_table(spark)).select("stmt_id", "page_no", "band_no", "template")
 
 
-def _template_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lined, templates = _lined(spark, sf_dir), canonical.template_table(spark)
+def _template_rows(spark: SparkSession, sf_dir: str, words: str = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lined, templates = _lined(spark, sf_dir, words), canonical.template_table(spark)
     matched = layout.match_templates(lined, templates)
     bands = layout.header_bands(lined).join(matched.select("stmt_id", "page_no", "band_no"), ["stmt_id", "page_no", "band_no"], "left_semi")
     cells = layout.assign_cells(lined, layout.header_columns(lined, bands), bands)
@@ -106,13 +106,18 @@ def template_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stmt_id", "line_no", "total", F.try_element_at("cells", F.lit(0)).alias("first"), F.try_element_at("cells", F.lit(5)).alias("comm"))
 
 
+def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the grids of letterhead and header fit the lines below them."""
+    return layout.candidate_tables(_lined(spark, sf_dir))[0].select("stmt_id", "table_no", "hits", "misses", "fused", "lines_below")
+
+
 def pick_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of letterhead and header the one whose table reconciles."""
-    return layout.pick_layout(*layout.candidate_tables(_lined(spark, sf_dir))).select("stmt_id", "page_no", "table_no", "passing", "rows", "total_line")
+    """Of letterhead and header the one whose table reconciles; some statements have neither."""
+    return layout.pick_layout(*layout.candidate_tables(_lined(spark, sf_dir, VARIED))).select("stmt_id", "page_no", "table_no", "passing", "rows", "total_line")
 
 
 def layout_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lined, matched, rows = _template_rows(spark, sf_dir)
+    lined, matched, rows = _template_rows(spark, sf_dir, VARIED)
     counts = rows.filter("NOT total").groupBy("stmt_id").agg(F.count(F.lit(1)).alias("rows"))
     picked = layout.pick_layout(*layout.candidate_tables(lined))
     return layout.layout_fallback(matched, counts, picked).select("stmt_id", "how", "template", "table_no")
@@ -171,7 +176,7 @@ def ocr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        word_statements, normalise_axes, assign_lines, merge_header_bands, assign_bands, header_columns, assign_cells, match_templates, template_rows, pick_layout, layout_fallback,
+        word_statements, normalise_axes, assign_lines, merge_header_bands, assign_bands, header_columns, assign_cells, match_templates, template_rows, candidate_tables, pick_layout, layout_fallback,
         filter_ocr_words, ocr_readings, pick_rotation, ocr_setting_hits, ocr_files,
     )
 }
@@ -210,12 +215,16 @@ SELECT stmt_id, row_no + 2 AS line_no, 0 AS col_no, policy AS value FROM r UNION
 UNION ALL SELECT stmt_id, row_no + 2, 2, eff FROM r UNION ALL SELECT stmt_id, row_no + 2, 3, gross FROM r UNION ALL SELECT stmt_id, row_no + 2, 4, rate FROM r UNION ALL SELECT stmt_id, row_no + 2, 5, comm FROM r
 UNION ALL SELECT stmt_id, n + 3, 0, 'Totals' FROM s WHERE k % 3 <> 2 UNION ALL SELECT stmt_id, n + 3, 3, gross FROM s WHERE k % 3 <> 2 UNION ALL SELECT stmt_id, n + 3, 5, stated FROM s WHERE k % 3 <> 2)
 SELECT stmt_id, line_no::INTEGER AS line_no, col_no, value FROM c""",
-    "match_templates": f"WITH s AS ({I.plain(I.SUMS)}) SELECT stmt_id, 1 AS page_no, 1 AS band_no, 'Chris Leef General Agency' AS template FROM s",
+    "match_templates": f"WITH s AS ({I.plain(I.SUMS)}) SELECT stmt_id, 1 AS page_no, 1 AS band_no, 'Chris Leef General Agency' AS template FROM s WHERE k % 4 <> 2 AND k % 16 NOT IN (7, 11)",
     "template_rows": f"""{_CELL_LINES} SELECT stmt_id, (row_no + 2)::INTEGER AS line_no, false AS total, policy AS first, comm FROM r
 UNION ALL SELECT stmt_id, (n + 3)::INTEGER, true, 'Totals', stated FROM s WHERE k % 3 <> 2""",
-    "layout_fallback": f"WITH s AS ({I.plain(I.SUMS)}) SELECT stmt_id, 'template' AS how, 'Chris Leef General Agency' AS template, 1 AS table_no FROM s",
+    "layout_fallback": f"""WITH s AS ({I.plain(I.SUMS)}) SELECT stmt_id, CASE WHEN k % 4 IN (2, 3) THEN 'auto-detected' ELSE 'template' END AS how,
+  CASE WHEN k % 4 NOT IN (2, 3) THEN 'Chris Leef General Agency' END AS template, 1 AS table_no FROM s WHERE k % 16 NOT IN (7, 11)""",
+    "candidate_tables": f"""WITH s AS (SELECT *, (k % 3 <> 2)::INTEGER AS closed FROM ({I.plain(I.SUMS)}) x)
+SELECT stmt_id, 1 AS table_no, (6 * n + 3 * closed)::BIGINT AS hits, (n // 2)::BIGINT AS misses, 0::BIGINT AS fused, (n + closed)::BIGINT AS lines_below FROM s
+UNION ALL SELECT stmt_id, 0, (11 + 6 * n + n // 2 + 3 * closed)::BIGINT, 0::BIGINT, n::BIGINT, (2 + n + closed)::BIGINT FROM s""",
     "pick_layout": f"""WITH s AS ({I.plain(I.SUMS)}) SELECT stmt_id, 1 AS page_no, 1 AS table_no,
-  CASE WHEN k % 3 = 2 THEN 0 WHEN k % 7 = 0 THEN 1 ELSE 2 END::BIGINT AS passing, n::BIGINT AS rows, CASE WHEN k % 3 <> 2 THEN n + 3 END::INTEGER AS total_line FROM s""",
+  CASE WHEN k % 3 = 2 THEN 0 WHEN k % 7 = 0 THEN 1 ELSE 2 END::BIGINT AS passing, n::BIGINT AS rows, CASE WHEN k % 3 <> 2 THEN n + 3 END::INTEGER AS total_line FROM s WHERE k % 16 NOT IN (7, 11)""",
     "filter_ocr_words": f"""{_READ} SELECT stmt_id, page_no, try_no, word_no, trim(text) AS text, "left" * 0.24::DOUBLE AS x0, ("left" + width) * 0.24::DOUBLE AS x1, top * 0.24::DOUBLE AS top, (top + height) * 0.24::DOUBLE AS bottom FROM c WHERE cf >= 25""",
     "ocr_readings": f"{_FACTS} SELECT * FROM f",
     "pick_rotation": f"""{_FACTS}, s AS (SELECT *, min(CASE WHEN mean >= 48 AND words >= 10 THEN try_no END) OVER (PARTITION BY stmt_id, page_no) AS stop FROM f),
