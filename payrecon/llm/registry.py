@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, language, line_dedup, mixing, negatives, pieces, pii, quality, simhash, tokens, toxicity, warc
+from . import decontam, language, line_dedup, mixing, negatives, pieces, pii, quality, simhash, spelling, tokens, toxicity, warc
 
-MODULES = (line_dedup, mixing, quality, simhash, decontam, tokens, warc, language, toxicity, pii, pieces, negatives)
+MODULES = (line_dedup, mixing, quality, simhash, decontam, tokens, warc, language, toxicity, pii, pieces, negatives, spelling)
 
 
 def queries() -> dict:

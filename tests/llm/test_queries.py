@@ -24,7 +24,7 @@ COLUMNS = {
 def test_queries_return_what_the_contract_names(spark):
     queries, docs = registry.queries(), {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").count()
-    assert len(queries) == 11
+    assert len(queries) == 14
     found = {}
     for name, columns in COLUMNS.items():
         out = queries[name](spark, SF)
