@@ -79,6 +79,17 @@ def frequent_grams(words: DataFrame, share: float = SHARE, most: int = MOST) ->
     return found
 
 
+def signature(word: str) -> int:
+    """A bit for each letter and how often it came before, as a signed 64-bit number: of words that one edit parts it
+    differs in two bits at most."""
+    seen: dict[str, int] = {}
+    out = 0
+    for c in word:
+        k = seen[c] = seen.get(c, -1) + 1
+        out |= 1 << (ord(c) + 29 * k) % 64
+    return out - (out >> 63 << 64)
+
+
 class GramIndex:
     """Words as variable-length grams, and the grams that no single edit can spoil at once.
 
@@ -184,13 +195,15 @@ def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, m
         for batch in batches:
             both = [index.get().keys(w) for w in batch.column(0).to_pylist()]
             lists = [pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["word", "n", "kept", "asked"])
+            marks = pa.array([signature(w) for w in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks, *lists], ["word", "n", "mark", "kept", "asked"])
 
-    keyed = stored(words.select("word", "n").mapInArrow(keys, "word string, n long, kept array<long>, asked array<long>"), "spelling-keys")
-    kept = keyed.select(F.explode("kept").alias("key"), F.col("word").alias("v"), F.col("n").alias("v_n"))
-    asks = keyed.select(F.explode(F.array_distinct("asked")).alias("key"), F.col("word").alias("u"), F.col("n").alias("u_n"))
+    keyed = stored(words.select("word", "n").mapInArrow(keys, "word string, n long, mark long, kept array<long>, asked array<long>"), "spelling-keys")
+    kept = keyed.select(F.explode("kept").alias("key"), F.col("word").alias("v"), F.col("n").alias("v_n"), F.col("mark").alias("v_mark"))
+    asks = keyed.select(F.explode(F.array_distinct("asked")).alias("key"), F.col("word").alias("u"), F.col("n").alias("u_n"), F.col("mark").alias("u_mark"))
+    likely = F.bit_count(F.col("u_mark").bitwiseXOR(F.col("v_mark"))) <= 2  # spares most pairs the distance
     once = (F.char_length("u") < F.char_length("v")) | (F.col("u") < F.col("v"))
-    found = asks.join(kept.hint("merge"), "key").filter(once & (F.levenshtein("u", "v", 1) == 1))
+    found = asks.join(kept.hint("merge"), "key").filter(likely & once & (F.levenshtein("u", "v", 1) == 1))
     pairs = stored(found.select("u", "u_n", "v", "v_n").distinct(), "spelling-pairs")
     names = ["word", "n", "near", "near_n"]
     return pairs.toDF(*names).union(pairs.select("v", "v_n", "u", "u_n").toDF(*names))
