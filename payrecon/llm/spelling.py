@@ -16,9 +16,11 @@ from .common import Shipped, bounded_batches, stored, table
 
 #: Runs of letters; a fixed pattern.
 RUN = "[A-Za-zÀ-ÿ]+"
-#: Grams have LEAST to a word's half of letters, MOST at most; one that has over SHARE of all places of words is extended.
-LEAST, MOST, SHARE = 2, 6, 0.0002
-#: Words with more letters have two grams, their halves: all the evidence that one edit can leave of them.
+#: Letters of grams; a gram that has over SHARE of all places of words is extended by a letter.
+LEAST, MOST, SHARE = 2, 3, 0.0002
+#: Blocks of places of an edit, at most; up to as many letters each place is one.
+BLOCKS = 8
+#: Longer words have no part in the counts of grams.
 LONG = 48
 #: Different words that a task counts before it hands their counts on.
 COUNTED = 200_000
@@ -54,8 +56,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_grams(words: DataFrame, share: float = SHARE, most: int = MOST) -> dict[str, int]:
-    """Grams of LEAST to most - 1 letters with over `share` of all places, and their counts: those that are extended.
+def frequent_grams(words: DataFrame, share: float = SHARE, most: int = MOST) -> set[str]:
+    """Grams of LEAST to most - 1 letters with over `share` of all places: those that are extended.
 
     The dictionary of the index follows from them: all grams of LEAST letters, and those of which the gram without its
     last letter is here. They are pruned level by level, as a gram cannot be more frequent than its beginning. A
@@ -63,7 +65,7 @@ def frequent_grams(words: DataFrame, share: float = SHARE, most: int = MOST) ->
     """
     spark, words = words.sparkSession, words.filter(F.char_length("word") <= LONG)
     places = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
-    found: dict[str, int] = {}
+    found: set[str] = set()
     above: list[str] | None = None
     for size in range(LEAST, most):
         at = F.sequence(F.lit(1), F.char_length("word") - (size - 1))
@@ -71,9 +73,9 @@ def frequent_grams(words: DataFrame, share: float = SHARE, most: int = MOST) ->
         if above is not None:
             known = F.broadcast(spark.createDataFrame([(g,) for g in above], "g string"))  # 1 / share rows at most
             grams = grams.join(known, F.substring("gram", 1, size - 1) == F.col("g"), "left_semi")
-        counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share * places).collect()
-        above = [r.gram for r in counted]
-        found |= {r.gram: r.n for r in counted}
+        counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share * places)
+        above = [r.gram for r in counted.collect()]
+        found |= {*above}
         if not above:
             break
     return found
@@ -91,29 +93,24 @@ def signature(word: str) -> int:
 
 
 class GramIndex:
-    """Words as variable-length grams, and the grams that no single edit can spoil at once.
-
-    With grams of LEAST to q letters, the gram at a place is the longest of the dictionary there, less those that lie
-    within an earlier one. An edit (a letter replaced or taken out at i, or one put in before i) spoils the grams that
-    hold i; those to its left that may grow over it, since the letters from there to i begin a longer gram; those to its
-    right that an earlier gram may swallow, since the letters up to there end a longer one. These follow each other, so
-    every i has a range of affected grams. All others are also grams of the edited word, at the same place counted from
-    the beginning (left of the edit) or from the end (right of it).
+    """Words as variable-length grams, and the grams that an edit cannot affect.
+
+    The gram at a place is the longest of the dictionary there, less those that lie within an earlier one. An edit (a
+    letter replaced or taken out at i, or one put in before i) affects the grams that hold i; those to its left that may
+    grow over it, since the letters from there to i begin a longer gram; and those to its right that an earlier gram may
+    swallow, since the letters up to there end a longer one. How far that reaches on either side follows from letters
+    that the edit leaves alone, so that a word and its edit tell the same bounds. All grams before and behind are grams
+    of both, at the same place counted from the beginning or from the end.
     """
 
-    def __init__(self, frequent: dict[str, int], least_letters: int, most: int = MOST) -> None:
-        if least_letters < 2 * LEAST:
+    def __init__(self, frequent: set[str], least_letters: int, most: int = MOST) -> None:
+        if least_letters < 2 * most:
             raise ValueError("an edit may affect all grams of words that short")
         self.frequent, self.least_letters, self.most = frequent, least_letters, most
-        self.rare = min(frequent.values(), default=1)
 
-    def longest(self, letters: int) -> int:
-        """q for words of so many letters, and their edits that are no shorter: no edit affects the first and the last gram."""
-        return min(self.most, letters // 2)
-
-    def grams(self, word: str, q: int) -> list[tuple[int, int]]:
+    def grams(self, word: str) -> list[tuple[int, int]]:
         """(first, last place) of the grams of a word, in order."""
-        out, reach, n, frequent = [], -1, len(word), self.frequent
+        out, reach, n, q, frequent = [], -1, len(word), self.most, self.frequent
         for p in range(n - LEAST + 1):
             size = LEAST
             while size < q and p + size < n and word[p : p + size] in frequent:
@@ -123,67 +120,38 @@ class GramIndex:
                 out.append((p, reach))
         return out
 
-    def affected(self, word: str, grams: list[tuple[int, int]], q: int) -> list[tuple[int, int]]:
-        """For each place of an edit the numbers of the first and the last affected gram.
-
-        A letter put in before i affects no more than one replaced at i, and one put in at the end no more than one
-        replaced in the last place.
-        """
-        out, n, count, frequent = [], len(word), len(grams), self.frequent
-        left = right = low = high = 0  # none of them ever goes back
-        for i in range(n):
-            while left < i and (i - left >= q or i - left >= LEAST and word[left:i] not in frequent):
-                left += 1
-            right = max(right, i)
-            while right + 1 < n and right - i + 2 <= q and (right - i < LEAST or word[i + 1 : right + 1] in frequent):
+    def lists(self, word: str, grams: list[tuple[int, int]], letters: int) -> list[tuple[int, str, str]]:
+        """For each block of edits of a word of so many `letters`, of which `word` is an edit with one more, or the word
+        itself: (its first place, what the grams before those affected spell, what the grams behind them spell)."""
+        n, q, frequent = len(word), self.most, self.frequent
+        more, count, k, j = n - letters, min(letters, BLOCKS), 0, 0
+        out = []
+        for block in range(count):
+            low, high = block * letters // count, (block + 1) * letters // count - 1 + more
+            left, right = low, high
+            while left > 0 and low - left + 1 < q and (low - left + 1 < LEAST or word[left - 1 : low] in frequent):
+                left -= 1
+            while right + 1 < n and right - high + 2 <= q and (right - high < LEAST or word[high + 1 : right + 1] in frequent):
                 right += 1
-            while low < count and grams[low][0] < left and grams[low][1] < i:
-                low += 1
-            while high < count and (grams[high][0] <= i or grams[high][1] <= right):
-                high += 1
-            out.append((low, high - 1))
+            while k < len(grams) and grams[k][0] < left:
+                k += 1
+            while j < len(grams) and (grams[j][0] <= high or grams[j][1] <= right):
+                j += 1
+            out.append((low, word[: grams[k - 1][1] + 1] if k else "", word[grams[j][0] :] if j < len(grams) else ""))
         return out
 
-    def asked(self, word: str, q: int) -> tuple[tuple[int, int], tuple[int, int]]:
-        """The two grams with the shortest lists of which each edit leaves one: the earlier one where the edit is right
-        of it, so that its place from the beginning stays, or the later one, whose place from the end stays."""
-        grams = self.grams(word, q)
-        bound: dict[int, int] = {}
-        for low, high in self.affected(word, grams, q):
-            bound[low] = max(high, bound.get(low, -1))
-        cost = [self.frequent.get(word[p : e + 1], self.rare / (1 + e - p)) for p, e in grams]
-        cheap = [*range(len(grams))]  # the gram of least cost from here on
-        for k in range(len(grams) - 2, -1, -1):
-            if cost[cheap[k + 1]] < cost[k]:
-                cheap[k] = cheap[k + 1]
-        best, far = None, -1
-        for a in range(len(grams)):
-            far = max(far, bound.get(a, -1), a)  # the last gram that some edit affects together with gram a or an earlier one
-            if far + 1 < len(grams) and (best is None or cost[a] + cost[cheap[far + 1]] < best[0]):
-                best = (cost[a] + cost[cheap[far + 1]], a, cheap[far + 1])
-        return grams[best[1]], grams[best[2]]
-
     def keys(self, word: str) -> tuple[list[int], list[int]]:
         """(keys under which the word is found, keys that it asks for), as signed 64-bit hashes.
 
-        Words ask for words of their own length and for words with a letter more. A key is made of the length of the word
-        that asks, what is more, the side from which the place counts, the place and the gram. The length of the word that
-        asks decides how both are cut.
+        Words ask for words of their own length and for words with a letter more: for each block of edits those that
+        have all the grams that these cannot affect.
         """
-        n = len(word)
-        name = lambda asks, more, side, place, gram: xxhash.xxh64_intdigest(f"{asks} {more} {side} {place} {gram}") - (1 << 63)
-        half = n // 2
-        kept = [name(n, 0, "<", p, word[p : e + 1]) for p, e in ([(0, half - 1), (half, n - 1)] if n > LONG else self.grams(word, self.longest(n)))]
-        if n - 1 > LONG:
-            half = (n - 1) // 2
-            kept += [name(n - 1, 1, "<", 0, word[:half]), name(n - 1, 1, ">", 1, word[half + 1 :])]
-        elif n > self.least_letters:
-            for p, e in self.grams(word, self.longest(n - 1)):
-                kept += [name(n - 1, 1, "<", p, word[p : e + 1]), name(n - 1, 1, ">", n - e, word[p : e + 1])]
-        half = n // 2
-        (p, e), (p2, e2) = ((0, half - 1), (half, n - 1)) if n > LONG else self.asked(word, self.longest(n))
-        early, late = word[p : e + 1], word[p2 : e2 + 1]
-        return kept, [name(n, 0, "<", p, early), name(n, 0, "<", p2, late), name(n, 1, "<", p, early), name(n, 1, ">", n - e2, late)]
+        n, grams = len(word), self.grams(word)
+        named = lambda more, letters, lists: [xxhash.xxh64_intdigest(f"{more} {letters} {low} {before} {behind}") - (1 << 63) for low, before, behind in lists]
+        own = self.lists(word, grams, n)
+        same = named(0, n, own)
+        longer = named(1, n - 1, self.lists(word, grams, n - 1)) if n > self.least_letters else []
+        return same + longer, same + named(1, n, own)
 
 
 def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -200,7 +168,7 @@ def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, m
 
     keyed = stored(words.select("word", "n").mapInArrow(keys, "word string, n long, mark long, kept array<long>, asked array<long>"), "spelling-keys")
     kept = keyed.select(F.explode("kept").alias("key"), F.col("word").alias("v"), F.col("n").alias("v_n"), F.col("mark").alias("v_mark"))
-    asks = keyed.select(F.explode(F.array_distinct("asked")).alias("key"), F.col("word").alias("u"), F.col("n").alias("u_n"), F.col("mark").alias("u_mark"))
+    asks = keyed.select(F.explode("asked").alias("key"), F.col("word").alias("u"), F.col("n").alias("u_n"), F.col("mark").alias("u_mark"))
     likely = F.bit_count(F.col("u_mark").bitwiseXOR(F.col("v_mark"))) <= 2  # spares most pairs the distance
     once = (F.char_length("u") < F.char_length("v")) | (F.col("u") < F.col("v"))
     found = asks.join(kept.hint("merge"), "key").filter(likely & once & (F.levenshtein("u", "v", 1) == 1))
@@ -235,10 +203,11 @@ def spelling_variants(
     Defined cases: null and empty texts have no words; a null id counts as an empty one where slips are planted, and
     is of no account else; repeated rows count each; an empty table gives an empty table; other columns are not read.
 
-    At scale: texts become counts in the tasks that read them, and only counts are shuffled. Each word stands in the
-    lists of its grams, some 3 rows a gram (a very long word in four lists), and asks for four lists, the shortest of which each edit leaves one; the
-    distance is part of the join, so that only near words leave it. Long lists are joined by sorting, which Spark
-    splits. The dictionary has at most 1 / share grams a length, whatever the number of words.
+    At scale: texts become counts in the tasks that read them, and only counts are shuffled. Each word stands in some 15
+    lists and asks for some 15, each merged from the lists of all grams that a block of edits leaves, so that the words of
+    a list differ in a few letters in one place; the distance is part of the join, so that only near words leave it. Long
+    lists are joined by sorting, which Spark splits. The dictionary has at most 1 / share grams a length, whatever the
+    number of words.
     """
     words = stored(word_counts(docs, id_col, text_col, least_letters, slips).filter(F.col("n") >= least_count), "spelling-words")
     near = near_words(words, least_letters)
