@@ -117,12 +117,17 @@ def with_uploader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.with_uploader(_history(spark, sf_dir), I.view(spark, sf_dir, USERS)).select("id", "user_id", "uploaded_by")
 
 
-def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changed_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(history, new rows): later and earlier versions of some of its rows, and rows of new ids."""
     old = _history(spark, sf_dir)
     again = old.filter("row_count < 8").withColumn("uploaded_at", F.expr("uploaded_at + INTERVAL 1 DAY")).withColumn("carrier", F.upper("carrier"))
     older = old.filter("row_count < 4").withColumn("carrier", F.lit("older"))
     brand_new = old.filter("row_count = 9").withColumn("id", F.concat(F.lit("n"), "id"))
-    out = history.upsert_statements(old, again.unionByName(older).unionByName(brand_new))
+    return old, again.unionByName(older).unionByName(brand_new)
+
+
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = history.upsert_statements(*changed_history(spark, sf_dir))
     return out.select("id", "carrier", F.col("uploaded_at").cast("string").alias("uploaded_at"), "row_count")
 
 

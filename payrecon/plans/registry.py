@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import delimited_queries, history_queries, layout_queries, reconcile_queries, scalar_queries
+from . import delimited_queries, history_queries, layout_queries, reconcile_queries, scalar_queries, whole_queries
 
-MODULES = (scalar_queries, reconcile_queries, history_queries, delimited_queries, layout_queries)
+MODULES = (scalar_queries, reconcile_queries, history_queries, delimited_queries, layout_queries, whole_queries)
 
 
 def queries() -> dict:

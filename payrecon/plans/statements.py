@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
-from ..operators import canonical, delimited, layout, ocr, reconcile, totals
+from ..operators import canonical, delimited, export, layout, ocr, reconcile, report, totals
 from ..sources import files as sources
+from ..sources import large
 from ..sources.payload import to_payload
 from ..sources.store import settled
 
@@ -43,8 +44,8 @@ def payloads(statements: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _judged(base: DataFrame, columns: DataFrame, cells: DataFrame, total_cells: DataFrame, checks: DataFrame, first: DataFrame) -> DataFrame:
-    """base (`stmt_id, filename, template, statement_total, statement_label`, ...) with columns, rows, checks, totals,
-    export and verdict; first: `stmt_id, warnings` that stand before those of the verdict."""
+    """base (`stmt_id, filename, template, statement_total, statement_label`, ...) with columns, mapping, rows, checks,
+    totals, export and verdict; first: `stmt_id, warnings` that stand before those of the verdict."""
     mapped = canonical.canonical_map(base.select("stmt_id", "template").join(columns, "stmt_id"))
     chosen = mapped.select("stmt_id", F.col("mapping.`Commission Amount`").alias("commission_column")).filter("commission_column IS NOT NULL")
     counts = cells.groupBy("stmt_id").agg(F.count_distinct("row_no").alias("row_count"))
@@ -54,31 +55,70 @@ def _judged(base: DataFrame, columns: DataFrame, cells: DataFrame, total_cells:
     )
     totals_of = _row_entries(total_cells).groupBy("stmt_id").agg(F.map_from_entries(F.min("row")).alias("totals"))  # one row each
     out = base
-    for other in (columns, reconcile.exported_total(cells, chosen), counts, proofs, totals_of, first):
+    for other in (columns, mapped.select("stmt_id", "mapping"), reconcile.exported_total(cells, chosen), counts, proofs, totals_of, first):
         out = out.join(other, "stmt_id", "left")
     judged = reconcile.payout_verdict(out.withColumn("filename_total", S.filename_amount(F.col("filename"))))
     return reconcile.verdict_warnings(judged.withColumn("n_rows", F.coalesce("row_count", F.lit(0).cast("long")))).drop("row_count")
 
 
-def read_exports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _once(rows: DataFrame) -> DataFrame:
+    """rows, of which those that repeat a statement's id are left out; contents are moved only if there are any."""
+    numbered = settled(rows.withColumn("_no", F.monotonically_increasing_id()), "files")
+    first = numbered.groupBy("stmt_id").agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = settled(numbered.select("stmt_id", "_no").join(first, "stmt_id").filter("_no <> _first").select("stmt_id", "_no"), "repeats")
+    kept = numbered if again.isEmpty() else numbered.join(again, ["stmt_id", "_no"], "left_anti")
+    return kept.drop("_no")
+
+
+_OWN = ["stmt_id", "filename", "suffix", "sha256", "uploaded_at"]
+
+
+def read_exports(files: DataFrame, most: int = config.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(statements, cells) of files (`stmt_id, filename, suffix, length, sha256, uploaded_at, content`).
 
-    statements: one row a file. `status` is the verdict, or `too_large` or `rejected` for files that are not read
-    and `crash` for those that cannot be, with the reason among `warnings`. Delimited files have `template,
-    delimiter, columns, n_rows, commission_column, exported_total, checks, n_checks, passed, totals`, the verdict,
-    and `cleanup`, the notes on what was changed. Files of words go another way, see read_word_statements(); here
-    they are `rejected`. cells: the cleaned data rows.
+    statements: one row a file. `status` is the verdict, or `too_large` (over `most` bytes) or `rejected` for files that
+    are not read and `crash` for those that cannot be, with the reason among `warnings`. Delimited files have `template,
+    delimiter, columns, mapping, n_rows, commission_column, exported_total, checks, n_checks, passed, totals`, the
+    verdict, and `cleanup`, the notes on what was changed. Files of words go another way, see read_word_statements(), and
+    large ones, see read_large_exports(). cells: the cleaned data rows.
 
     Defined cases: an empty file, and one without a row below its header, is a statement without rows and
-    `no_amounts`; rows that repeat a statement's id are one statement's; an empty table gives empty tables.
+    `no_amounts`, with a warning; of rows that repeat a statement's id the first as they lie counts; an empty table gives
+    empty tables.
     """
-    routed = settled(sources.route_by_suffix(files), "files")
-    own = ["stmt_id", "filename", "suffix", "sha256", "uploaded_at"]
+    routed = _once(sources.route_by_suffix(files, most))
     texts = routed.filter("route = 'delimited'").withColumn("text", sources.decoded("content")).drop("content")
     texts = settled(texts.withColumn("delimiter", delimited.sniff_delimiter(F.col("text"))), "texts")
     records, errors = sources.split_records(texts)
-    records, errors = settled(records, "records"), settled(errors, "errors")
-    raw, warned = delimited.normalise_header(records)
+    read, cells = _cleaned(texts.select(*_OWN, "delimiter"), settled(records, "records"), settled(errors, "errors"))
+    why = F.when(F.col("route") == "too_large", F.lit(f"Larger than {most / (1 << 20):.3g} MB: not read.")).otherwise(F.lit("Not a delimited export: not read."))
+    route = F.when(F.col("route") == "too_large", "too_large").otherwise("rejected")
+    left_out = routed.filter("route <> 'delimited'").select(*_OWN, route.alias("status"), F.array(why).alias("warnings"), F.lit(False).alias("ok"), F.lit(0).cast("long").alias("n_rows"))
+    return settled(read.unionByName(left_out, allowMissingColumns=True), "statements"), cells
+
+
+def read_large_exports(spark: SparkSession, root: str, over: int = config.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(statements, cells), as read_exports() gives them, of the delimited files below a folder that have more than `over`
+    bytes: those are read by ranges, many tasks a file. Their `sha256` is null, as no task has a whole file."""
+    lines = large.large_lines(spark, root, over)
+    name = F.element_at(F.split(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+    facts = lines.groupBy("path").agg(F.first("length").alias("length"), F.first("modificationTime").alias("uploaded_at"))
+    told = large.heads_of(lines).select("path", delimited.sniff_delimiter(F.col("text")).alias("delimiter"))
+    own = settled(facts.join(told, "path", "left").select(
+        sources.identity(F.col("path"), F.col("uploaded_at")).alias("stmt_id"), name.alias("filename"), F.lower(F.regexp_extract(name, r"\.[A-Za-z0-9]+$", 0)).alias("suffix"),
+        F.lit(None).cast("string").alias("sha256"), "uploaded_at", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), "path",
+    ), "large-files")
+    records, errors = large.split_large_records(lines, own)
+    of = own.select("path", "stmt_id")
+    records, errors = settled(records.join(of, "path").select("stmt_id", "rec_no", "fields"), "records"), settled(errors.join(of, "path").select("stmt_id", "error"), "errors")
+    read, cells = _cleaned(own.drop("path"), records, errors)
+    return settled(read, "statements"), cells
+
+
+def _cleaned(files: DataFrame, records: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statements, cells) of stored files (`stmt_id, filename, suffix, sha256, uploaded_at, delimiter`), the records in
+    them and what went wrong."""
+    raw, warned = delimited.normalise_header(records, files)
     raw = settled(raw, "raw-cells")
     plans = settled(delimited.resolve_percent_scale(raw, delimited.plan_columns(raw)), "plans")
     filled = settled(delimited.drop_blank_rows(delimited.apply_plans(raw, plans)), "filled-cells")
@@ -92,18 +132,48 @@ def read_exports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     notes = delimited.cleanup_notes(plans, closed.join(labels, "stmt_id", "left").withColumn("label", F.coalesce("label", F.lit("the last row"))), markers)
     cleanup = notes.groupBy("stmt_id").agg(_in_order(F.col("ord"), F.struct("column", "action", "detail")).alias("cleanup"))
     names = F.create_map(*[F.lit(x) for kv in config.DELIMITER_NAMES.items() for x in kv])
-    base = texts.select(*own, F.try_element_at(names, F.col("delimiter")).alias("delimiter"), sources.carrier_label(F.col("filename"), "delimited export").alias("template"))
+    base = files.select(*_OWN, F.try_element_at(names, F.col("delimiter")).alias("delimiter"), sources.carrier_label(F.col("filename"), "delimited export").alias("template"))
     base = base.join(cleanup, "stmt_id", "left").withColumn("statement_total", F.lit(None).cast("double")).withColumn("statement_label", F.lit(None).cast("string"))
-    first = warned.groupBy("stmt_id").agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
+    failed = errors.groupBy("stmt_id").agg(F.min("error").alias("_error"))
+    first = warned.join(failed, "stmt_id", "left_anti").groupBy("stmt_id").agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
     judged = _judged(base, columns, cells, total_cells, reconcile.column_checks(cells, total_cells), first)
-    crashed = judged.join(errors.groupBy("stmt_id").agg(F.min("error").alias("_error")), "stmt_id", "left")
+    crashed = judged.join(failed, "stmt_id", "left")
     said = F.concat(F.array(F.concat(F.lit("CRASH: "), "_error")), "warnings")
     crashed = crashed.withColumn("warnings", F.when(F.col("_error").isNotNull(), said).otherwise(F.col("warnings")))
-    crashed = crashed.withColumn("status", F.when(F.col("_error").isNotNull(), "crash").otherwise(F.col("status"))).drop("_error")
-    why = F.when(F.col("route") == "too_large", F.lit(f"Larger than {config.MAX_FILE_BYTES // (1024 * 1024)} MB: not read.")).otherwise(F.lit("Not a delimited export: not read."))
-    route = F.when(F.col("route") == "too_large", "too_large").otherwise("rejected")
-    left_out = routed.filter("route <> 'delimited'").select(*own, route.alias("status"), F.array(why).alias("warnings"), F.lit(False).alias("ok"), F.lit(0).cast("long").alias("n_rows"))
-    return settled(crashed.unionByName(left_out, allowMissingColumns=True), "statements"), cells
+    return crashed.withColumn("status", F.when(F.col("_error").isNotNull(), "crash").otherwise(F.col("status"))).drop("_error"), cells
+
+
+def export_statements(statements: DataFrame, cells: DataFrame, guarded: bool = True) -> dict[str, DataFrame]:
+    """What leaves of statements and cells that read_exports(), read_large_exports() or read_word_statements() have given:
+    `all_rows`, `typed` (the same with typed cells), `sheets` (the statements' own columns) and `report` (verdicts, checks,
+    warnings). With `guarded` a mismatch among the statements is an error; choose those that may leave before.
+
+    Rows are mapped with the mapping that reading has found; statements without a column to map, and such as were not
+    read, are in the report alone.
+    """
+    if guarded:
+        export.guard_failsafe(statements)
+    own = statements.select("stmt_id")
+    cells = cells.join(own, "stmt_id", "left_semi")
+    rows = export.all_rows(cells.select("stmt_id", "row_no").distinct(), cells, statements)
+    entries = lambda maps: statements.select("stmt_id", F.posexplode(maps).alias("row_no", "_row")).select("stmt_id", "row_no", F.explode("_row").alias("col_name", "value"))
+    order = statements.select("stmt_id", F.posexplode("columns").alias("_at", "_name"))
+    placed = lambda df: df.join(order, (df["stmt_id"] == order["stmt_id"]) & (df["col_name"] == order["_name"])).select(df["stmt_id"], "row_no", (F.col("_at") + 1).alias("col_no"), "col_name", "value")
+    below = entries("subtotals") if "subtotals" in statements.columns else entries(F.array().cast("array<map<string,string>>"))
+    sheets = export.statement_sheet(cells, placed(below), placed(entries(F.array_compact(F.array("totals")))))
+    checks = statements.select("stmt_id", F.posexplode("checks").alias("ord", "c")).select("stmt_id", "ord", "c.*")
+    warnings = statements.select("stmt_id", F.posexplode("warnings").alias("ord", "warning"))
+    return {"all_rows": rows, "typed": export.typed_all_rows(rows), "sheets": sheets, "report": export.validation_report(statements, checks, warnings)}
+
+
+def carrier_sweep(statements: DataFrame) -> DataFrame:
+    """carrier_report() over statements that were read: the carrier is that of the file's name."""
+    stated = F.coalesce(F.when(F.col("statement_total") != 0, F.col("statement_total")), F.col("filename_total"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return report.carrier_report(statements.select(
+        S.carrier_name(F.col("filename")).alias("carrier"), "filename", "template", zero("n_rows").alias("rows"), zero("n_checks").alias("checks"), zero("passed").alias("passed"),
+        F.col("status").alias("failsafe"), F.col("exported_total").alias("exported"), stated.alias("declared"), F.get("warnings", F.lit(0)).alias("warn"),
+    ))
 
 
 def words_with_readings(words: DataFrame, ocr_words: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.statements import payloads, read_exports
+from ..sources import hash_index
 from ..sources.files import BINARY, with_identity
 from ..sources.store import made_paths, release, settled
 
@@ -14,8 +15,7 @@ HISTORY = (
     "id string, filename string, carrier string, uploaded_at timestamp, row_count long, failsafe string, exported_total double, "
     "source_suffix string, source_sha256 string, first_copy string, warnings array<string>, payload string"
 )
-#: Of each content the statement that had it first in its batch; below the history, where its readers do not look.
-HASHES = "source_sha256 string, first_id string, first_at timestamp, batch long, prefix string"
+#: The index of contents: below the history, where its readers do not look.
 _HASHES = "_hashes"
 
 
@@ -38,28 +38,26 @@ def ingest_batch(files: DataFrame, batch: int, history_path: str) -> None:
     """Clean, reconcile and keep the files of one batch. A batch that is run again replaces what it wrote.
 
     A file whose content an earlier statement has is kept and marked with that statement's id. Earlier contents are
-    looked up in an index of hashes, of which only the folders of the batch's own prefixes are read: the history
-    itself is not.
+    looked up in an index of hashes, which merges its runs as it grows: the history itself is not read, and of the index
+    only what has the batch's own prefixes.
     """
     spark, index = files.sparkSession, f"{history_path}/{_HASHES}"
     mark = len(made_paths(spark))
+    hash_index.merge(spark, index, before=batch)
     statements, cells = read_exports(with_identity(files))
-    prefix = F.substring("sha256", 1, 2)
-    within = settled(statements.groupBy("sha256").agg(F.min(F.struct("uploaded_at", "stmt_id")).alias("_new")).withColumn("prefix", prefix), "batch-hashes")
-    marked = statements.join(within, "sha256").withColumn("_old", F.lit(None).cast("string"))
-    if _exists(spark, index):
-        wanted = [r[0] for r in within.select("prefix").distinct().collect()]  # 256 at most
-        known = spark.read.schema(HASHES).parquet(index).filter(F.col("prefix").isin(wanted) & (F.col("batch") != batch))
-        earlier = known.groupBy("source_sha256").agg(F.min(F.struct("first_at", "first_id"))["first_id"].alias("_old"))
-        marked = marked.drop("_old").join(earlier, F.col("sha256") == F.col("source_sha256"), "left")
+    first = F.min(F.struct("uploaded_at", "stmt_id"))
+    within = settled(statements.groupBy("sha256").agg(first.alias("_new")), "batch-hashes")
+    earlier = settled(hash_index.lookup(index, within, batch), "batch-known")
+    marked = statements.join(within, "sha256").join(earlier.select("sha256", F.col("first_id").alias("_old")), "sha256", "left")
     first = F.coalesce("_old", "_new.stmt_id")
     rows = payloads(marked, cells).select(
         F.col("stmt_id").alias("id"), "filename", F.col("template").alias("carrier"), "uploaded_at", F.col("n_rows").alias("row_count"), F.col("status").alias("failsafe"), "exported_total",
         F.col("suffix").alias("source_suffix"), F.col("sha256").alias("source_sha256"), F.when(first != F.col("stmt_id"), first).alias("first_copy"), "warnings", "payload",
     )
     rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch}")
-    own = within.select(F.col("sha256").alias("source_sha256"), F.col("_new.stmt_id").alias("first_id"), F.col("_new.uploaded_at").alias("first_at"), "prefix")
-    own.write.mode("overwrite").partitionBy("prefix").parquet(f"{index}/batch={batch}")
+    # What is known with an earlier statement already needs no second entry.
+    own = within.join(earlier.select("sha256", "first_at"), "sha256", "left").filter("first_at IS NULL OR first_at > _new.uploaded_at")
+    hash_index.add(index, own.select("sha256", F.col("_new.stmt_id").alias("first_id"), F.col("_new.uploaded_at").alias("first_at")), batch)
     release(spark, mark)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from payrecon import config
 from payrecon.functions import scalars as S
 from payrecon.operators import canonical, export, layout, ocr, reconcile
-from payrecon.plans.statements import payloads, read_exports, read_word_statements
+from payrecon.plans.statements import carrier_sweep, export_statements, payloads, read_exports, read_large_exports, read_word_statements
 from payrecon.sources import files as sources
 from payrecon.sources.payload import from_payload
 from payrecon.streaming import ingest
@@ -128,6 +128,41 @@ def test_exports_keep_a_row_for_what_is_not_read(spark, tmp_path, monkeypatch):
     assert read_exports(files.limit(0))[0].count() == 0
 
 
+def test_exports_of_repeated_ids_and_empty_files(spark, tmp_path):
+    write(tmp_path, ["Acme 30.00.csv", "copy.csv"])
+    files = sources.read_delimited(spark, str(tmp_path))
+    empty = files.filter("filename = 'copy.csv'").withColumn("stmt_id", F.lit("none")).withColumn("content", F.lit(b" \n ")).withColumn("filename", F.lit("none.csv"))
+    statements, cells = read_exports(files.unionByName(files).unionByName(empty), most=200)
+    got = {r.filename: r for r in statements.collect()}
+    assert statements.count() == len(got) == 3 and (got["Acme 30.00.csv"].exported_total, got["Acme 30.00.csv"].status) == (30.0, "match")
+    assert (got["none.csv"].n_rows, got["none.csv"].warnings) == (0, [config.EMPTY_FILE])
+    assert {r.status for r in read_exports(files, most=20)[0].collect()} == {"too_large"}
+    out = export_statements(statements, cells)
+    rows = {(r.source, r.row_no): r for r in out["all_rows"].collect()}
+    assert rows["Acme 30.00.csv", 1]["Policy Number"] == "A1" and rows["Acme 30.00.csv", 3]["Commission Amount"] == "20.00" and len(rows) == 3
+    assert {r.status for r in out["report"].filter("section = 0").collect()} == {"FAILSAFE OK (filename: 30.00)", "FAILSAFE N/A"}
+    assert out["sheets"].filter("col_name = 'Premium'").count() == 2 and out["typed"].count() == 3
+    swept = {r.carrier: (r.bucket, r.verdict) for r in carrier_sweep(statements).collect()}
+    assert swept == {"Acme": ("unverified", "PASS"), "copy": ("unverified", "n/a"), "none": ("no-rows", "n/a")}
+
+
+def test_large_exports_are_those_of_small_ones(spark, tmp_path):
+    write(tmp_path, ["Acme 30.00.csv", "Tab 3.00.tsv"])
+    (tmp_path / "Long 6.00+1.csv").write_text('Policy,Name,Commission\n' + 'p,"a\nb",0.01\n' * 300)
+    keys = ["filename", "status", "n_rows", "exported_total", "delimiter", "columns", "cleanup", "warnings", "template", "n_checks", "passed"]
+    seen = lambda s: sorted(map(tuple, s.select(*keys).collect()))
+    small, cells = read_exports(sources.read_delimited(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        large, more = read_large_exports(spark, str(tmp_path), over=0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen(large) == seen(small) and len(seen(small)) == 3
+    key = lambda c, s: sorted(map(tuple, c.join(s.select("stmt_id", "filename"), "stmt_id").select("filename", "col_name", "value").collect()))
+    assert key(more, large) == key(cells, small)
+    assert read_large_exports(spark, str(tmp_path))[0].count() == 0
+
+
 def words_at(stmt, page, rows):
     """Word rows of lines of (text, x0, x1), eleven points apart."""
     made = [(stmt, page, 100 * i + j, t, float(a), float(b), 20.0 + 20.0 * i, 28.0 + 20.0 * i, False) for i, line in enumerate(rows) for j, (t, a, b) in enumerate(line)]
