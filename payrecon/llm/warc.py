@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored, table
 
-MAGIC = "WARC/1.1\r\n"
+#: What every record of any version 1 begins with, and what the records that are written here go on with.
+MAGIC, VERSION = "WARC/1.", "1\r\n"
 BREAK = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -43,7 +44,7 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     http = F.concat(F.lit(HTTP), F.col("_bytes").cast("string"), F.lit(BREAK))
     block = F.when(again, http).otherwise(F.concat(http, F.col("_html")))
     head = F.concat(
-        F.lit(MAGIC), F.lit("WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
+        F.lit(MAGIC + VERSION), F.lit("WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), _urn(F.col("_id")), F.lit("\r\nWARC-Target-URI: "), F.col("_url"),
         F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/http; msgtype=response"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("_digest"),
@@ -78,13 +79,13 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_header(rows: DataFrame) -> DataFrame:
-    """rows with `_head` (from the line break that ends the magic on), `_size` (Content-Length) and `_from`, the
-    first byte of the block; null where there is no header."""
+    """rows with `_head` (from the rest of the version on), `_size` (Content-Length) and `_from`, the first byte of the
+    block; null where there is no header."""
     text = F.col("_bytes").cast("string")
-    head = F.when(F.instr(text, BREAK) > 0, F.concat(F.lit("\r\n"), F.substring_index(text, BREAK, 1)))
+    head = F.when(text.rlike("^[0-9]+\r\n") & (F.instr(text, BREAK) > 0), F.substring_index(text, BREAK, 1))
     rows = rows.withColumn("_head", head).withColumn("_size", _field(F.col("_head"), "Content-Length"))
     size = F.expr("try_cast(_size AS bigint)")
-    return rows.withColumn("_size", F.when(size >= 0, size)).withColumn("_from", F.octet_length("_head").cast("long") - 2 + len(BREAK) + 1)
+    return rows.withColumn("_size", F.when(size >= 0, size)).withColumn("_from", F.octet_length("_head").cast("long") + len(BREAK) + 1)
 
 
 def _block_of(rows: DataFrame) -> Column:
@@ -119,7 +120,7 @@ def offsets(seen: DataFrame) -> DataFrame:
     lengths over the segments of a file; what is before the first magic gets a negative one."""
     order = Window.partitionBy("_file").orderBy("_block", "_seq").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.col("_len") + len(MAGIC)).over(order), F.lit(0)) - len(MAGIC)
-    return stored(seen.select("_file", "_block", "_seq", "_len", "_size", "_from", "_whole").withColumn("_at", at).drop("_len"), "warc-offsets")
+    return stored(seen.select("_file", "_block", "_seq", "_len", "_size", "_from", "_whole").withColumn("_at", at), "warc-offsets")
 
 
 def reachable(jumps: DataFrame) -> DataFrame:
@@ -192,15 +193,37 @@ def _together(cut: DataFrame, pieces: DataFrame) -> DataFrame:
     return rows.select("_file", F.col("_start").alias("_at"), whole.alias("_bytes"))
 
 
+def chain_ends(spark: SparkSession, path: str) -> DataFrame:
+    """`file, bytes, read_to, records` for every archive below `path` that has a byte: where its chain of records ended.
+
+    read_to is `bytes` where all of the file is records; it is less where a record is cut off, names a wrong length or
+    another follows without a header, and 0 where the file does not begin with one: what lies behind is not read. The last
+    record may lack its closing blank lines. Of compressed files all numbers are those of the bytes within.
+    """
+    seen = candidates(segments(spark, path))
+    records, _ = records_of(seen)
+    at = offsets(seen)
+    names = seen.groupBy("_file").agg(F.first("_path").alias("file"))
+    whole = at.groupBy("_file").agg(F.max(F.col("_at") + len(MAGIC) + F.col("_len")).alias("bytes"))
+    ends = at.join(records.select("_file", "_at"), ["_file", "_at"]).groupBy("_file").agg(F.max(F.col("_at") + len(MAGIC) + F.col("_from") - 1 + F.col("_size")).alias("_end"), F.count(F.lit(1)).alias("records"))
+    closed = F.when(F.col("bytes").between(F.col("_end"), F.col("_end") + len(BREAK)), F.col("bytes")).otherwise(F.col("_end") + len(BREAK))
+    cut = F.when(F.col("_end") > F.col("bytes"), F.col("_last")).otherwise(closed)
+    last = records.groupBy("_file").agg(F.max("_at").alias("_last"))
+    known = whole.join(names, "_file").join(ends, "_file", "left").join(last, "_file", "left").filter("bytes > 0")
+    return known.select("file", "bytes", F.coalesce(cut, F.lit(0).cast("long")).alias("read_to"), F.coalesce("records", F.lit(0).cast("long")).alias("records"))
+
+
 def index_warc(spark: SparkSession, path: str) -> DataFrame:
-    """`file, at, head, block_bytes, payload` (bytes, digest, declared) of every record of the archives below `path`.
+    """`file, at, head, block_bytes, payload` (bytes, digest, declared) of every record of the archives below `path`,
+    of any version 1, and compressed or not (a compressed file is read by one task).
 
     Every magic is a candidate, and with its Content-Length it names its successor. Only candidates on the
     chain from a file's first byte are records; the magic inside a payload is not one, and what such a payload
     says about lengths moves nothing.
 
-    Defined cases: a file that does not begin with a record has none; a chain ends where no candidate follows;
-    empty files, and archives of an empty table, give no rows.
+    Defined cases: a file that does not begin with a record has none; a chain ends where no candidate follows, and
+    chain_ends() tells where that was; empty files, and archives of an empty table, give no rows. The chains of one file
+    are put in order by one task, from some 100 bytes a candidate: archives are files of a few GB.
 
     At scale: archives are read in splits, and what is read of payloads (length and digest) is computed where
     they are read; offsets, pointers and chains are tables of numbers. Only records that hold the magic are put

@@ -125,6 +125,35 @@ def test_pointer_jumping(spark):
     assert warc.reachable(spark.createDataFrame([(1, 5, 9)], "_file long, _at long, _to long")).count() == 0
 
 
+def test_warc_of_any_version_and_broken_chains(spark, tmp_path):
+    import gzip
+
+    def record(version, n, body=b"x", length=None, end=b"\r\n\r\n"):
+        head = f"WARC/{version}\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n"
+        return head.encode() + body + end
+
+    whole = [record("1.0", 1), record("1.1", 2, b"WARC/1.0 in a text\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), record("1.0", 3, b""), record("1.1", 4)]
+    files = {
+        "mixed.warc": b"".join(whole), "bare.warc": whole[0] + record("1.0", 5, end=b""), "cut.warc": whole[0] + record("1.1", 6, b"abc", length=50),
+        "wrong.warc": whole[0] + record("1.1", 7, b"abcdef", length=2) + whole[3], "late.warc": b"\r\n" + whole[0], "other.warc": whole[0] + b"WARC/2.0\r\n\r\n" + whole[3],
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "zip.warc.gz").write_bytes(b"".join(map(gzip.compress, whole)))
+    base = lambda f: f.rsplit("/", 1)[1]
+    found = {}
+    for r in warc.page_index(warc.index_warc(spark, str(tmp_path)).filter("head LIKE '%urn%'")).collect():
+        found[r.page_id] = found.get(r.page_id, 0) + 1
+    assert found == {1: 6, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1, 7: 1}
+    ends = {base(r.file): (r.bytes, r.read_to, r.records) for r in warc.chain_ends(spark, str(tmp_path)).collect()}
+    n, one = {k: len(v) for k, v in files.items()}, len(whole[0])
+    wrong = len(whole[0]) + len(record("1.1", 7, b"ab"))
+    assert ends == {
+        "mixed.warc": (n["mixed.warc"],) * 2 + (4,), "zip.warc.gz": (n["mixed.warc"],) * 2 + (4,), "bare.warc": (n["bare.warc"],) * 2 + (2,),
+        "cut.warc": (n["cut.warc"], one, 2), "wrong.warc": (n["wrong.warc"], wrong, 2), "late.warc": (n["late.warc"], 0, 0), "other.warc": (n["other.warc"], one, 1),
+    }
+
+
 def test_warc_odd_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a", 1), (1, "u", "a", 2), (2, None, "a", 3), (None, "v", "a", 4), (None, "v", None, 5), (7, "w", "", 6)], "page_id long, url string, html string, _digest int")
     warc.write_warc(pages, str(tmp_path / "odd"))

@@ -92,16 +92,18 @@ def plain_variants(rows, least=7, least_count=2, times=10, slips=31):
                 run = run[: h % len(run)] + run[h % len(run) + 1 :]
             counts[run] += 1
     words = {w: n for w, n in counts.items() if len(w) >= least and n >= least_count}
-    near = {w: [] for w in words}
+    near = {w: set() for w in words}
+    holes: dict = {}
     for w in words:
-        for v in words:
-            short, long = sorted((w, v), key=len)
-            if len(w) == len(v):
-                one = sum(a != b for a, b in zip(w, v, strict=True)) == 1
-            else:
-                one = len(long) - len(short) == 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
-            if one:
-                near[w].append(v)
+        for i in range(min(len(w), 200)):  # longer words of the fixtures are of one letter
+            shorter = w[:i] + w[i + 1 :]
+            if shorter in near:
+                near[shorter].add(w)
+                near[w].add(shorter)
+            holes.setdefault((i, shorter), []).append(w)
+    for same in holes.values():  # the same but for the letter at i
+        for w in same:
+            near[w].update(v for v in same if v != w)
     form = {}
     for w, found in near.items():
         best = min(found, key=lambda v: (-words[v], v), default=None)
