@@ -82,14 +82,14 @@ def frequent_grams(words: DataFrame, share: float = SHARE, most: int = MOST) ->
 
 
 def signature(word: str) -> int:
-    """A bit for each letter and how often it came before, as a signed 64-bit number: of words that one edit parts it
-    differs in two bits at most."""
+    """A bit for each letter and how often it came before, 31 bits in all: of words that one edit parts it differs in two
+    bits at most."""
     seen: dict[str, int] = {}
     out = 0
     for c in word:
         k = seen[c] = seen.get(c, -1) + 1
-        out |= 1 << (ord(c) + 29 * k) % 64
-    return out - (out >> 63 << 64)
+        out |= 1 << (ord(c) + 13 * k) % 31
+    return out
 
 
 class GramIndex:
@@ -140,18 +140,17 @@ class GramIndex:
             out.append((low, word[: grams[k - 1][1] + 1] if k else "", word[grams[j][0] :] if j < len(grams) else ""))
         return out
 
-    def keys(self, word: str) -> tuple[list[int], list[int]]:
-        """(keys under which the word is found, keys that it asks for), as signed 64-bit hashes.
-
-        Words ask for words of their own length and for words with a letter more: for each block of edits those that
-        have all the grams that these cannot affect.
+    def keys(self, word: str) -> tuple[list[int], list[int], list[int]]:
+        """Keys as signed 64-bit hashes: of the word and others of its length, under which it is found and asks; those under
+        which shorter words find it; those under which it asks for longer words. For each block of edits a list is of the
+        words that have all the grams that these cannot affect.
         """
         n, grams = len(word), self.grams(word)
         named = lambda more, letters, lists: [xxhash.xxh64_intdigest(f"{more} {letters} {low} {before} {behind}") - (1 << 63) for low, before, behind in lists]
         own = self.lists(word, grams, n)
         same = named(0, n, own)
         longer = named(1, n - 1, self.lists(word, grams, n - 1)) if n > self.least_letters else []
-        return same + longer, same + named(1, n, own)
+        return same, longer, named(1, n, own)
 
 
 def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -161,16 +160,18 @@ def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, m
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [index.get().keys(w) for w in batch.column(0).to_pylist()]
-            lists = [pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in range(2)]
-            marks = pa.array([signature(w) for w in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks, *lists], ["word", "n", "mark", "kept", "asked"])
-
-    keyed = stored(words.select("word", "n").mapInArrow(keys, "word string, n long, mark long, kept array<long>, asked array<long>"), "spelling-keys")
-    kept = keyed.select(F.explode("kept").alias("key"), F.col("word").alias("v"), F.col("n").alias("v_n"), F.col("mark").alias("v_mark"))
-    asks = keyed.select(F.explode("asked").alias("key"), F.col("word").alias("u"), F.col("n").alias("u_n"), F.col("mark").alias("u_mark"))
+            words = batch.column(0).to_pylist()
+            found = [index.get().keys(w) for w in words]
+            lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in range(3)]
+            marks = pa.array([signature(w) for w in words], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks, *lists], ["word", "n", "mark", "same", "kept", "asked"])
+
+    keyed = stored(words.select("word", "n").mapInArrow(keys, "word string, n long, mark int, same array<long>, kept array<long>, asked array<long>"), "spelling-keys")
+    side = lambda more, as_: keyed.select(F.explode(F.concat("same", more)).alias("key"), *[F.col(c).alias(a) for c, a in zip(("word", "n", "mark"), (as_, f"{as_}_n", f"{as_}_mark"), strict=True)])
+    kept, asks = side("kept", "v"), side("asked", "u")
     likely = F.bit_count(F.col("u_mark").bitwiseXOR(F.col("v_mark"))) <= 2  # spares most pairs the distance
-    once = (F.char_length("u") < F.char_length("v")) | (F.col("u") < F.col("v"))
+    shorter = F.char_length("u") - F.char_length("v")
+    once = (shorter < 0) | ((shorter == 0) & (F.col("u") < F.col("v")))
     found = asks.join(kept.hint("merge"), "key").filter(likely & once & (F.levenshtein("u", "v", 1) == 1))
     pairs = stored(found.select("u", "u_n", "v", "v_n").distinct(), "spelling-pairs")
     names = ["word", "n", "near", "near_n"]
