@@ -17,7 +17,7 @@ from .common import Shipped, bounded_batches, table
 #: What stands for a blank inside pieces; a fixed value.
 BLANK = "▁"
 #: Segments remembered by a Python worker in each of two generations, and the longest that are; characters of texts at a time.
-KEPT, LONGEST_KEPT, AT_ONCE = 100_000, 40, 1 << 20
+KEPT, LONGEST_KEPT, AT_ONCE = 150_000, 40, 4 << 20
 #: Kinds of pieces in a model file; fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Merge-type models in a model file; a fixed value.

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Shipped, bounded_batches, stored, table
@@ -20,7 +20,7 @@ RUN = "[A-Za-zÀ-ÿ]+"
 LEAST, MOST, SHARE = 2, 3, 0.0002
 #: Blocks of places of an edit, at most; up to as many letters each place is one.
 BLOCKS = 8
-#: Longer words have no part in the counts of grams.
+#: Longer words have no part in the counts of grams, and are compared in another way.
 LONG = 48
 #: Different words that a task counts before it hands their counts on.
 COUNTED = 200_000
@@ -153,6 +153,16 @@ class GramIndex:
         return same, longer, named(1, n, own)
 
 
+def _one_edit(u: Column, v: Column) -> Column:
+    """Of different words, v as long as u or a letter longer: one edit parts them. The letters they begin with alike are
+    found by halving, as Spark's distance looks at long words again from the beginning for every letter."""
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    more = lambda p, step: (p + step <= F.char_length(u)) & (F.substring(u, 1, p + step) == F.substring(v, 1, p + step))
+    alike = F.aggregate(steps, F.lit(0), lambda p, step: F.when(more(p, step), p + step).otherwise(p))
+    rest = lambda word, n: F.substring(word, alike + n, F.char_length(word))
+    return F.when(F.char_length(u) == F.char_length(v), rest(u, 2) == rest(v, 2)).otherwise(rest(u, 1) == rest(v, 2))
+
+
 def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, most: int = MOST) -> DataFrame:
     """`word, n, near, near_n`: both directions of every pair of different words (`word, n`, each once) that differ by one
     inserted, deleted or replaced code point. Words have `least_letters` code points or more."""
@@ -172,8 +182,10 @@ def near_words(words: DataFrame, least_letters: int = 7, share: float = SHARE, m
     likely = F.bit_count(F.col("u_mark").bitwiseXOR(F.col("v_mark"))) <= 2  # spares most pairs the distance
     shorter = F.char_length("u") - F.char_length("v")
     once = (shorter < 0) | ((shorter == 0) & (F.col("u") < F.col("v")))
-    found = asks.join(kept.hint("merge"), "key").filter(likely & once & (F.levenshtein("u", "v", 1) == 1))
-    pairs = stored(found.select("u", "u_n", "v", "v_n").distinct(), "spelling-pairs")
+    met = lambda u, v: asks.filter(u).join(kept.filter(v).hint("merge"), "key").filter(likely & once)
+    short = met(F.char_length("u") <= LONG, F.char_length("v") <= LONG).filter(F.levenshtein("u", "v", 1) == 1)
+    long = met(F.char_length("u") >= LONG, F.char_length("v") > LONG).filter(_one_edit(F.col("u"), F.col("v")))
+    pairs = stored(short.union(long).select("u", "u_n", "v", "v_n").distinct(), "spelling-pairs")
     names = ["word", "n", "near", "near_n"]
     return pairs.toDF(*names).union(pairs.select("v", "v_n", "u", "u_n").toDF(*names))
 

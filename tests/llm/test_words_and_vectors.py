@@ -121,7 +121,7 @@ def test_spelling_variants_against_brute_force(spark):
     rng = random.Random(6)
     made = ["".join(rng.choice(("tion", "ing", "er", "Ço", "é", "ß", "a")) for _ in range(rng.randint(3, 6))) for _ in range(120)]
     texts = [" ".join(rng.choice(made[: rng.choice((3, 120))]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
-    texts += ["abcdefgh " * 3000, "abcdefg abcdefg " + "abcdefgx " * 30, "Abcdefgx1abcdefgh,ÀÀÀÀÀÀÀ ààààààà × ÷ aaaaaaa×b aaaaaaa×b", "short words only " + "chainaaa " * 200 + "chainaab " * 20 + "chainacb " * 2, None, "", ("z" * 70_000 + " ") * 30 + ("z" * 70_001 + " ") * 2, ("ab" * 24 + " ") * 20 + ("ab" * 24 + "a ") * 2]
+    texts += ["abcdefgh " * 3000, "abcdefg abcdefg " + "abcdefgx " * 30, "Abcdefgx1abcdefgh,ÀÀÀÀÀÀÀ ààààààà × ÷ aaaaaaa×b aaaaaaa×b", "short words only " + "chainaaa " * 200 + "chainaab " * 20 + "chainacb " * 2, None, "", ("z" * 70_000 + " ") * 30 + ("z" * 70_001 + " ") * 2, ("ab" * 24 + " ") * 20 + ("ab" * 24 + "a ") * 2 + ("ba" * 40 + " ") * 3 + ("ba" * 20 + "c" + "ba" * 20 + " ") * 2 + ("ba" * 39 + "cc ") * 2 + ("ba" * 39 + "bc ") * 40]
     rows = [*enumerate(texts), (None, "planted " * 40), (None, "plantedd planted plantedd"), (2, texts[2])]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, n int").repartition(3)
     for slips in (3, 0):
