@@ -13,7 +13,10 @@ from .. import config
 #: What counts as white space at the ends of a cell; SQL's trim() cuts blanks alone.
 _WHITE = r"[\s\x1C-\x1F\x85\p{Z}]"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: The commonest form of a number.
+_BARE = r"^-?[0-9]+(?:\.[0-9]+)?\z"
 YMD8 = r"^(\d{4})(\d{2})(\d{2})$"
+_YMD8_ONLY = r"^[0-9]{8}\z"
 _ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$"
 _MDY = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})(?:[ T].*)?$"
 
@@ -44,7 +47,7 @@ def same_cent(a: Column, b: Column, tolerance: float = config.CENT) -> Column:
 def to_amount(text: Column) -> Column:
     """Statement amount as a number; null for anything else. Parentheses around the whole mean minus.
 
-    Most cells never meet the patterns: what begins with a letter is no amount, and a bare number is one as it is.
+    Most cells never meet the costly part: what begins with a letter is no amount, and a bare number is one as it is.
     """
 
     def of(cell: Column) -> Column:
@@ -55,7 +58,12 @@ def to_amount(text: Column) -> Column:
         sign = F.when(cell.startswith("(") & cell.endswith(")"), -1.0).otherwise(1.0)
         return let(bare, lambda x: F.when(x.rlike(_NUMBER), sign * x.try_cast("double")))
 
-    return let(strip(text), of)
+    return F.when(_worded(text), F.lit(None)).when(text.rlike(_BARE), text.try_cast("double")).otherwise(let(strip(text), of))
+
+
+def _worded(text: Column) -> Column:
+    """The text begins with an ASCII letter or one of the few signs between them."""
+    return (text >= "A") & (text < "{")
 
 
 def is_percent(text: Column) -> Column:
@@ -84,12 +92,16 @@ def to_mdy(text: Column) -> Column:
         dated = (cell >= "0") & (cell < ":")  # all forms begin with a digit
         return F.when(cell == "", F.lit("")).when(dated, let(F.split(flat, r"\|"), shown))
 
-    return let(F.coalesce(strip(text), F.lit("")), of)
+    year, month, day = (F.substring(text, at, n) for at, n in ((1, 4), (5, 2), (7, 2)))
+    good = month.between("01", "12") & day.between("01", "31") & year.between("1900", "2200")
+    compact = F.when(good, F.concat_ws("/", month, day, year))
+    return F.when(_worded(text), F.lit(None)).when(text.rlike(_YMD8_ONLY), compact).otherwise(let(F.coalesce(strip(text), F.lit("")), of))
 
 
 def first_of_mdy(text: Column) -> Column:
     """The first component of a month-day-year text, whichever of the two it is."""
-    return F.regexp_extract(strip(text), _MDY, 1).try_cast("int")
+    parted = text.contains("/") | text.contains("-")
+    return F.when(parted, F.regexp_extract(strip(text), _MDY, 1).try_cast("int"))
 
 
 def is_ymd8(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,53 +35,61 @@ def anchor_groups(positions: list[float], tolerance: float) -> list[int]:
     return out
 
 
-def merge_bands(lines: list[int], words: list[dict], gap: float, ratio: float) -> list[int]:
-    """Numbers of the bands of a page's words: lines that are near, then header-like bands a line apart."""
-    bands: list[dict] = []
-    before = None
-    for line, w in zip(lines, words, strict=True):
-        if not bands or line != bands[-1]["line"]:
-            if before is None or w["pos"] - before > gap:
-                bands.append({"pos": w["pos"], "heights": [], "n": 0, "alpha": 0, "num": 0, "lines": []})
-            bands[-1]["line"] = line
-            bands[-1]["lines"].append(line)
-            before = w["pos"]
-        b = bands[-1]
-        b["n"] += 1
-        b["alpha"] += bool(w["alpha"])
-        b["num"] += bool(w["num"])
-        b["heights"].append(w["height"])
-    number, held = {}, None
-    heads = lambda b: b["n"] >= config.MIN_CELLS and b["alpha"] >= config.MIN_CELLS and b["num"] <= b["n"] // 3
-    for b in bands:
-        height = sorted(held["heights"])[len(held["heights"]) // 2] if held else 0
-        if held and heads(held) and heads(b) and height > 0 and (b["pos"] - held["pos"]) / height <= ratio:
-            for k in ("n", "alpha", "num"):
-                held[k] += b[k]
-            held["heights"] += b["heights"]
-        else:
-            held = b
-            held["no"] = len({id(x) for x in number.values()})
-        for line in b["lines"]:
-            number[line] = held
-    return [number[line]["no"] for line in lines]
+class Pages:
+    """The words of many pages, in order of position, as flat lists; a page is a range of them."""
+
+    def __init__(self, positions: list[float], heights: list[float], alpha: np.ndarray, num: np.ndarray) -> None:
+        self.positions, self.heights = positions, heights
+        self.alpha, self.num = ([0, *np.cumsum(x).tolist()] for x in (alpha, num))
+
+    def heads(self, start: int, end: int) -> bool:
+        """The words of a range look like a header: labels, few figures."""
+        alpha, num = (x[end] - x[start] for x in (self.alpha, self.num))
+        return end - start >= config.MIN_CELLS and alpha >= config.MIN_CELLS and num <= (end - start) // 3
+
+    def bands(self, start: int, end: int, lines: list[int], gap: float, ratio: float) -> list[int]:
+        """Numbers of the bands of a page's words: lines that are near, then header-like bands a line apart. `lines`: the
+        numbers of the lines of its words."""
+        if start == end:
+            return []
+        at, firsts, before = self.positions, [], None
+        for i in range(start, end):
+            if i == start or lines[i - start] != lines[i - start - 1]:
+                if before is None or at[i] - before > gap:
+                    firsts.append(i)
+                before = at[i]
+        merged: list[int] = []  # where the bands begin that are not taken into the one before
+        for first, last in zip(firsts, [*firsts[1:], end], strict=True):
+            if merged and self.heads(merged[-1], first) and self.heads(first, last):
+                height = sorted(self.heights[merged[-1] : first])[(first - merged[-1]) // 2]
+                if height > 0 and (at[first] - at[merged[-1]]) / height <= ratio:
+                    continue
+            merged.append(first)
+        sizes = np.diff([*merged, end])
+        return np.repeat(np.arange(len(merged)), sizes).tolist()
 
 
 def assign_lines(words: DataFrame, tolerance: float = config.LINE_TOL, gap: float = config.BAND_GAP, ratio: float = config.HEADER_MERGE_RATIO) -> DataFrame:
     """normalise_axes() words with `line_no, band_no` and `word_in_line`, their order along the line.
 
-    One group per page, which is small; a batch of pages goes through the two sequential rules at a time. The
-    result is stored: bands, columns and cells all start from it.
+    One group per page, which is small; a batch of pages goes through the two sequential rules at a time, as flat
+    columns. The result is stored: bands, columns and cells all start from it.
     """
 
     @F.arrow_udf("array<struct<line: int, band: int>>")
     def grouped(pages: pa.Array) -> pa.Array:
-        out = []
-        for page in pages:
-            w = page.as_py()
-            lines = anchor_groups([x["pos"] for x in w], tolerance)
-            out.append([{"line": a, "band": b} for a, b in zip(lines, merge_bands(lines, w, gap, ratio), strict=True)])
-        return pa.array(out, pa.list_(pa.struct([("line", pa.int32()), ("band", pa.int32())])))
+        ends = np.concatenate(([0], np.cumsum(pages.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
+        pos, height, alpha, num = pages.flatten().flatten()
+        flags = (pc.fill_null(x, False).to_numpy(zero_copy_only=False) for x in (alpha, num))
+        flat = Pages(pos.to_pylist(), height.to_pylist(), *flags)
+        lines: list[int] = []
+        bands: list[int] = []
+        for start, end in zip(ends, ends[1:], strict=False):
+            own = anchor_groups(flat.positions[start:end], tolerance)
+            lines += own
+            bands += flat.bands(start, end, own, gap, ratio)
+        both = pa.StructArray.from_arrays([pa.array(lines, pa.int32()), pa.array(bands, pa.int32())], ["line", "band"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
 
     alpha, num = F.col("txt").rlike("[A-Za-z]{3}").alias("alpha"), S.to_amount(F.col("txt")).isNotNull().alias("num")
     page = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("pos", "word_no", "lo", "hi", "txt", "height", alpha, num))).alias("_w"))

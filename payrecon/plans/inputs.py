@@ -48,10 +48,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, rows: DataFrame | None = None) -> DataFrame:
-    """The rows of a query whose {names} are tables of the folder; `rows` stands for STMT_ROWS where it is given."""
-    given = {} if rows is None else {"stmt_rows": rows}
-    sql = sql.replace(f"({STMT_ROWS})", "{stmt_rows}") if given else sql
+def view(spark: SparkSession, sf_dir: str, sql: str, rows: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """The rows of a query whose {names} are tables of the folder; `rows` stands for STMT_ROWS and `sums` for SUMS where
+    they are given."""
+    given = {}
+    for name, made, text in (("sums", sums, SUMS), ("stmt_rows", rows, STMT_ROWS)):
+        if made is not None and f"({text})" in sql:
+            given[name], sql = made, sql.replace(f"({text})", f"{{{name}}}")
     return spark.sql(sql, **given, **{name: read(spark, sf_dir, name) for name in set(re.findall(r"\{(\w+)\}", sql)) - set(given)})
 
 
@@ -69,6 +72,11 @@ def settled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(stmt_rows(spark, sf_dir), "statement-rows")
 
 
+def settled_sums(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """SUMS computed once."""
+    return settled(view(spark, sf_dir, SUMS, rows), "sums")
+
+
 def statements(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     return view(spark, sf_dir, STATEMENTS, rows)
 

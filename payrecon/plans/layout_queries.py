@@ -56,11 +56,13 @@ FROM (SELECT *, cast(stmt_id AS bigint) AS k FROM ({WORDS}) a) w WHERE k % 16 <>
 
 
 def _lined(spark: SparkSession, sf_dir: str, words: str = WORDS) -> DataFrame:
-    return layout.assign_lines(layout.normalise_axes(I.view(spark, sf_dir, words, I.settled_rows(spark, sf_dir))))
+    rows = I.settled_rows(spark, sf_dir)
+    return layout.assign_lines(layout.normalise_axes(I.view(spark, sf_dir, words, rows, I.settled_sums(spark, sf_dir, rows))))
 
 
 def normalise_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.normalise_axes(I.view(spark, sf_dir, WORDS)).select("stmt_id", "word_no", "pos", "lo", "hi", "txt")
+    rows = I.settled_rows(spark, sf_dir)
+    return layout.normalise_axes(I.view(spark, sf_dir, WORDS, rows, I.settled_sums(spark, sf_dir, rows))).select("stmt_id", "word_no", "pos", "lo", "hi", "txt")
 
 
 def assign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +129,7 @@ def word_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from words to verdicts, over templates, unknown headers, unknown rows, no table and no words."""
     rows = I.settled_rows(spark, sf_dir)
     files = settled(I.statements(spark, sf_dir, rows).filter("n_rows > 0").select("stmt_id", "filename"), "word-files")
-    made = read_word_statements(files, I.view(spark, sf_dir, VARIED, rows).drop("k"))[0]
+    made = read_word_statements(files, I.view(spark, sf_dir, VARIED, rows, I.settled_sums(spark, sf_dir, rows)).drop("k"))[0]
     return made.select(
         "stmt_id", "how", "template", "n_rows", F.coalesce("n_checks", F.lit(0)).cast("long").alias("n_checks"), F.coalesce("passed", F.lit(0)).cast("long").alias("passed"),
         "commission_column", "exported_total", "filename_total", "status", F.size("warnings").cast("long").alias("n_warnings"),

@@ -42,7 +42,7 @@ def exported_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reconcile.declared_totals(I.view(spark, sf_dir, I.LINES))
+    found = reconcile.declared_totals(I.view(spark, sf_dir, I.LINES, sums=I.settled_sums(spark, sf_dir)))
     amounts = F.array_join(F.transform("amounts", lambda a: S.format_amount(a)), " ")
     return found.select("stmt_id", "rank", "page_no", "line_no", "match_no", "label", amounts.alias("amounts"))
 
@@ -52,7 +52,7 @@ def payout(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = I.settled_rows(spark, sf_dir)
     stmts = settled(I.statements(spark, sf_dir, lines).select("stmt_id", "filename", "template", "segment", "n_rows"), "statements")
     files = stmts.withColumn("filename_total", S.filename_amount(F.col("filename")))
-    declared = reconcile.declared_totals(I.view(spark, sf_dir, I.LINES, lines))
+    declared = reconcile.declared_totals(I.view(spark, sf_dir, I.LINES, sums=I.settled_sums(spark, sf_dir, lines)))
     chosen = reconcile.choose_reference(declared, files)
     rows = files.join(_exported(stmts, lines), "stmt_id", "left").join(chosen, "stmt_id", "left")
     return reconcile.payout_verdict(rows)
@@ -100,7 +100,8 @@ def canonical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.melt(I.view(spark, sf_dir, I.CLOSED_ROWS, I.settled_rows(spark, sf_dir)), _TOTAL_WIDE)
+    """Settled, as the rules on totals look at the cells several times."""
+    return settled(I.melt(I.view(spark, sf_dir, I.CLOSED_ROWS, I.settled_rows(spark, sf_dir)), _TOTAL_WIDE), "closed-cells")
 
 
 def split_trailing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,7 @@ def split_labelled_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pick_totals_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, I.TOTAL_ROWS)
+    rows = I.view(spark, sf_dir, I.TOTAL_ROWS, sums=I.settled_sums(spark, sf_dir))
     return totals.pick_totals_row(I.melt(rows, ("policy", "gross", "comm"), ("Policy", "Gross", "Comm $")))
 
 

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,11 +77,52 @@ def test_lines_are_anchored():
             assert mine[-1] - mine[0] <= 3.0 and (not later or later[0] - mine[0] > 3.0)
 
 
+def plain_bands(lines, words, gap, ratio):
+    """Band numbers of a page's words (`pos, height, alpha, num`), word by word."""
+    bands, before = [], None
+    for line, w in zip(lines, words, strict=True):
+        if not bands or line != bands[-1]["line"]:
+            if before is None or w["pos"] - before > gap:
+                bands.append({"pos": w["pos"], "words": []})
+            bands[-1]["line"], before = line, w["pos"]
+        bands[-1]["words"].append(w)
+    count = lambda b, k: sum(bool(w[k]) for w in b["words"])
+    heads = lambda b: len(b["words"]) >= config.MIN_CELLS <= count(b, "alpha") and count(b, "num") <= len(b["words"]) // 3
+    kept, out = [], []
+    for b in bands:
+        n = len(b["words"])
+        if kept and heads(kept[-1]) and heads(b):
+            height = sorted(w["height"] for w in kept[-1]["words"])[len(kept[-1]["words"]) // 2]
+            if height > 0 and (b["pos"] - kept[-1]["pos"]) / height <= ratio:
+                kept[-1]["words"] = kept[-1]["words"] + b["words"]
+                out += [len(kept) - 1] * n
+                continue
+        kept.append(b)
+        out += [len(kept) - 1] * n
+    return out
+
+
+def flat_bands(pages, gap, ratio):
+    words = [w for page in pages for w in page]
+    flat = layout.Pages([w["pos"] for w in words], [w["height"] for w in words], np.array([w["alpha"] for w in words], bool), np.array([w["num"] for w in words], bool))
+    out, start = [], 0
+    for page in pages:
+        lines = layout.anchor_groups([w["pos"] for w in page], config.LINE_TOL)
+        out.append(flat.bands(start, start + len(page), lines, gap, ratio))
+        start += len(page)
+    return out
+
+
 def test_header_bands_join_a_line_apart():
     word = lambda pos, alpha=True: {"pos": pos, "height": 10.0, "alpha": alpha, "num": not alpha}
     words = [word(0)] * 3 + [word(11.1)] * 3 + [word(40)] * 3 + [word(51, False)] * 3
-    lines = layout.anchor_groups([w["pos"] for w in words], config.LINE_TOL)
-    assert layout.merge_bands(lines, words, config.BAND_GAP, config.HEADER_MERGE_RATIO) == [0] * 6 + [1] * 3 + [2] * 3
+    assert flat_bands([words], config.BAND_GAP, config.HEADER_MERGE_RATIO) == [[0] * 6 + [1] * 3 + [2] * 3]
+    rng = random.Random(3)
+    for _ in range(200):
+        made = lambda: {"pos": rng.choice((0.0, 0.5, 9.0, 10.0, 11.0, 20.0, 24.0, 33.0, 60.0)), "height": rng.choice((0.0, 8.0, 10.0)), "alpha": rng.random() < 0.8, "num": rng.random() < 0.2}
+        pages = [sorted((made() for _ in range(rng.randint(0, 30))), key=lambda w: w["pos"]) for _ in range(4)]
+        plain = [plain_bands(layout.anchor_groups([w["pos"] for w in page], config.LINE_TOL), page, config.BAND_GAP, config.HEADER_MERGE_RATIO) for page in pages]
+        assert flat_bands(pages, config.BAND_GAP, config.HEADER_MERGE_RATIO) == plain
 
 
 FILES = {
