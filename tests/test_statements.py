@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from payrecon import config
 from payrecon.functions import scalars as S
-from payrecon.operators import canonical, export, layout, ocr, reconcile
+from payrecon.operators import canonical, export, history, layout, ocr, reconcile
 from payrecon.plans.statements import carrier_sweep, export_statements, payloads, read_exports, read_large_exports, read_word_statements
 from payrecon.sources import files as sources
 from payrecon.sources.payload import from_payload
@@ -259,3 +259,24 @@ def test_tsv(spark, tmp_path):
     lines = sources.statement_lines(rows, cells, spark.createDataFrame([("s", ["A", "B"])], "stmt_id string, columns array<string>"))
     sources.write_statement_tsv(lines, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()] == ["A\tB", "x\t", "\ty"]
+
+
+def test_words_are_read_and_rows_written(spark, tmp_path):
+    made = words_at("s", 1, [[("Policy", 10, 40)]])
+    spark.createDataFrame(made, sources.WORDS).write.parquet(str(tmp_path / "words"))
+    spark.createDataFrame(made, sources.WORDS).write.json(str(tmp_path / "json"))
+    for fmt, path in (("parquet", "words"), ("json", "json")):
+        read = sources.read_words(spark, str(tmp_path / path), fmt)
+        assert [tuple(r) for r in read.collect()] == made and read.schema.simpleString() == spark.createDataFrame([], sources.WORDS).schema.simpleString()
+    fields = ", ".join(f"`{f}` string" for f in config.CANONICAL_FIELDS)
+    rows = spark.createDataFrame([("s", 1, "a.csv", "A", *["x\ty", "", '"q"', "1", "2", "3"])], f"stmt_id string, row_no int, source string, carrier string, {fields}")
+    sources.write_all_rows_tsv(rows, str(tmp_path / "rows"))
+    back = spark.read.csv(str(tmp_path / "rows"), sep="\t", header=True).collect()
+    assert back[0].asDict() == {"Source": "a.csv", "Carrier": "A", **dict(zip(config.CANONICAL_FIELDS, ("x\ty", None, '"q"', "1", "2", "3"), strict=True))}
+
+
+def test_ids_that_are_there(spark):
+    kept = spark.createDataFrame([("a",), ("b",)], "id string")
+    asked = spark.createDataFrame([("b",), ("b",), ("c",), (None,)], "id string")
+    assert [r.id for r in history.found_ids(kept, asked).collect()] == ["b"] and history.found_ids(kept, asked.limit(0)).count() == 0
+    assert [r.id for r in history.delete_statements(kept, asked).collect()] == ["a"]
