@@ -191,7 +191,7 @@ def test_packed_products_of_any_width():
     rng = np.random.default_rng(9)
     for most, parts, n in ((1, 1, 1), (2, 3, 50), (160, 64, 101), (5000, 64, 33), (1 << 20, 100, 9), (1 << 28, 8, 5), (0, 4, 3), (3, 0, 4)):
         a, c = rng.integers(-most, most + 1, (7, parts)), rng.integers(-most, most + 1, (n, parts + 2 * (parts > 1)))
-        assert np.array_equal(negatives.products(a, c), a @ c[:, :parts])
+        assert np.array_equal(negatives.products(a, c), a @ c[:, :parts].T)
     assert negatives.products(np.zeros((0, 4), np.int64), np.ones((3, 4), np.int64)).shape == (0, 3)
     with pytest.raises(ArithmeticError):
         negatives.products(np.full((1, 2), 1 << 40), np.full((1, 2), 1 << 40))
