@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,9 @@ from .common import Shipped, bounded_batches, table
 
 #: What stands for a blank inside pieces; a fixed value.
 BLANK = "▁"
-#: Segments remembered by a Python worker in each of two generations, and the longest that are; characters of texts at a time.
-KEPT, LONGEST_KEPT, AT_ONCE = 150_000, 40, 4 << 20
+#: Segments (or an eighth of their ids) remembered by a Python worker in each of two generations; characters of texts at a
+#: time; segments in a text that the library is asked about.
+KEPT, AT_ONCE, ASKED = 200_000, 4 << 20, 32
 #: Kinds of pieces in a model file; fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Merge-type models in a model file; a fixed value.
@@ -63,12 +64,13 @@ class Vocabulary:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.symbol_of[ord(piece)] = i
+        self.symbol_of[ord(" ")] = self.symbol_of[ord(BLANK)]  # as the library has it
         self.end = next(i for i, p in enumerate(file.pieces) if p.type == CONTROL and p.piece == (file.trainer_spec.eos_piece or "</s>"))
 
     def one_by_heap(self, text: str) -> list[int]:
         """The ids of one segment; its agenda is a heap. An entry is out of date if its left symbol is gone or the pair has
         another length by now."""
-        symbols, n, cost = list(text), len(text), self.cost
+        symbols, n, cost = list(text.replace(" ", BLANK)), len(text), self.cost
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(c, i, 2) for i in range(n - 1) if (c := cost.get(symbols[i] + symbols[i + 1])) is not None]
         heapify(agenda)
@@ -147,71 +149,132 @@ class Vocabulary:
 
 
 class _Known(dict):
-    """Ids of segments as bytes of 32-bit integers, in two generations: what is asked for again moves to the young one, and
-    the old one goes when the young one is full."""
+    """Numbers of segments, in the order in which they were first asked for, and where the ids of each are."""
 
     def __init__(self) -> None:
-        self.old: dict = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def lacking(self, keys: set[str]) -> list[str]:
-        """Those of keys that are in no generation; the others are in the young one afterwards."""
-        lack = []
-        for key in keys - self.keys():
-            ids = self.old.get(key)
-            if ids is None:
-                lack.append(key)
-            else:
-                self[key] = ids
-        return lack
+    def __missing__(self, segment: str) -> int:
+        number = self[segment] = len(self)
+        return number
 
-    def fade(self) -> None:
-        if len(self) > KEPT:
-            self.old = {k: v for k, v in self.items() if len(k) <= LONGEST_KEPT}
-            self.clear()
+    def learn(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the numbers that have none yet."""
+        self.starts, self.sizes = np.append(self.starts, len(self.ids) + starts), np.append(self.sizes, sizes)
+        self.ids = np.append(self.ids, ids)
+
+    def spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of segments by number."""
+        sizes = self.sizes[numbers]
+        return self.ids[np.repeat(self.starts[numbers] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes
 
 
 class PieceEncoder:
-    """Texts to ids and back, a batch at a time; with `check`, every batch is held against the sentencepiece library."""
+    """Texts to ids and back, a batch at a time; with `check`, held against the sentencepiece library.
+
+    Each different segment is compared when it is made, among others in a text of segments and line ends, as is the first
+    text of a batch; as no piece of the vocabulary spans a cut, texts of equal segments are equal. Each text must also come
+    back from the library's decode of its ids, or is compared whole. Where texts cannot be cut all are compared whole.
+    """
 
     def __init__(self, model: bytes, check: bool) -> None:
         import sentencepiece
 
-        self.vocabulary, self.check, self.known = Vocabulary(model), check, _Known()
+        self.vocabulary, self.check, self.known, self.old = Vocabulary(model), check, _Known(), _Known()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         #: Blanks begin a segment and line ends stand alone, if no piece says otherwise; else a text is one segment.
-        whole = any(pair[1] == BLANK != pair[0] or "\n" in pair for pair in self.vocabulary.glued)
-        self.segments = (lambda text: [text] if text else []) if whole else re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall
+        self.whole = any(pair[1] == BLANK != pair[0] or "\n" in pair for pair in self.vocabulary.glued)
+        self.segments = (lambda text: [text]) if self.whole else re.compile(" *[^ \n]+| +|\n").findall
 
     def _batches(self, texts: list[str]) -> Iterator[list[list[str]]]:
         """Segments of the texts, of some AT_ONCE characters at a time; a longer text is alone."""
-        part, held = [], 0
+        part, held, prefix = [], 0, self.vocabulary.prefix and " "
         for text in texts:
             if part and held + len(text) > AT_ONCE:
                 yield part
                 part, held = [], 0
-            part.append(self.segments(self.vocabulary.prefix + text.replace(" ", BLANK)) if text else [])
+            part.append(self.segments(prefix + text.replace(BLANK, " ")) if text else [])
             held += len(text)
         yield part
 
+    def _learn(self) -> None:
+        """Finds or makes the ids of the segments that have been asked for first just now."""
+        known, old = self.known, self.old
+        first, new = len(known.sizes), [*islice(known, len(known.sizes), None)]
+        place = np.fromiter((old.get(s, -1) for s in new), np.int64, len(new))
+        there, lack = place >= 0, [s for s, at in zip(new, place.tolist(), strict=True) if at < 0]
+        made = self.vocabulary.merged(lack)
+        sizes = np.zeros(len(new), dtype=np.int64)
+        found, sizes[there] = old.spelled(place[there])
+        sizes[~there] = [len(x) // 4 for x in made]
+        order = np.argsort(~there, kind="stable")  # those found, then those made
+        starts = np.zeros(len(new), dtype=np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        known.learn(np.concatenate((found, np.frombuffer(b"".join(made), dtype=np.int32))), starts, sizes)
+        if self.check and not self.whole and lack:
+            self._hold_segments(lack, first + np.flatnonzero(~there))
+
+    def _hold_segments(self, segments: list[str], numbers: np.ndarray) -> None:
+        """Compares segments with the library, in texts of line ends with a segment behind each."""
+        blank, line_end = self.known[" "], self.known["\n"]
+        asked = ["\n" + "\n".join(segments[i : i + ASKED]) for i in range(0, len(segments), ASKED)]
+        firsts = np.arange(0, len(segments), ASKED)
+        sizes = 2 * np.diff(np.append(firsts, len(segments)))
+        row = np.stack((np.full_like(numbers, line_end), numbers), axis=1).ravel()
+        if self.vocabulary.prefix:
+            row, sizes = np.insert(row, 2 * firsts, blank), sizes + 1
+        self._hold(asked, *self._ended(row, sizes))
+
+    def _hold(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        theirs = self.library.encode(texts, add_bos=False, add_eos=True, num_threads=1)
+        if sizes.tolist() != [*map(len, theirs)] or not np.array_equal(ids, np.fromiter(chain.from_iterable(theirs), np.int32, len(ids))):
+            raise ValueError("ids differ from those of the library")
+
+    def _ended(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of texts of so many segments each, with the end id behind each text."""
+        ids, sizes = self.known.spelled(numbers)
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
+        return np.insert(ids, ends, self.vocabulary.end), np.diff(ends, prepend=0) + 1
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of texts, each with the end id behind it."""
-        end, known, out = np.array([self.vocabulary.end], dtype=np.int32).tobytes(), self.known, []
+        try:
+            return self._encode(texts)
+        except BaseException:  # what has not been compared must not be remembered
+            self.known, self.old = _Known(), _Known()
+            raise
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
         for part in self._batches(texts):
-            new = known.lacking(set(chain.from_iterable(part)))
-            known.update(zip(new, self.vocabulary.merged(new), strict=True))
-            out += [b"".join(map(known.__getitem__, segments)) + end for segments in part]
-            known.fade()
-        ids, sizes = np.frombuffer(b"".join(out), dtype=np.int32), np.array([len(x) // 4 for x in out], dtype=np.int64)
-        if self.check:
-            theirs = self.library.encode(texts, add_bos=False, add_eos=True, num_threads=1)
-            if sizes.tolist() != [*map(len, theirs)] or not np.array_equal(ids, np.fromiter(chain.from_iterable(theirs), np.int32, len(ids))):
-                raise ValueError("ids differ from those of the library")
+            known = self.known
+            known[" "], known["\n"]  # have numbers: what is compared is made of them
+            counts = np.array([*map(len, part)], dtype=np.int64)
+            numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(part)), np.int64, counts.sum())
+            self._learn()
+            out.append(self._ended(numbers, counts))
+            if len(known) > KEPT or len(known.ids) > 8 * KEPT:
+                self.known, self.old = _Known(), known
+        ids, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
+        if self.check and len(texts):
+            some = len(texts) if self.whole else 1
+            self._hold(texts[:some], ids[: sizes[:some].sum()], sizes[:some])
         return ids, sizes
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         ends = np.cumsum(sizes).tolist()
         return [self.library.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)]
 
+    def both(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(ids, sizes, decoded texts); a text that does not come back as it was is compared whole."""
+        ids, sizes = self.encode(texts)
+        decoded = self.decode(ids, sizes)
+        if self.check and not self.whole:
+            ends = np.cumsum(sizes)
+            for i in [i for i, (text, back) in enumerate(zip(texts, decoded, strict=True)) if text.replace(BLANK, " ") != back]:
+                self._hold([texts[i]], ids[ends[i] - sizes[i] : ends[i]], sizes[i : i + 1])
+        return ids, sizes, decoded
+
 
 class _Model:
     """What a task gets: the model's bytes; each Python worker makes one encoder of them and keeps it with the class."""
@@ -241,9 +304,9 @@ def piece_columns(spark: SparkSession, text: Column, model_file: str, check: boo
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def pieces(texts: pa.Array) -> pa.Array:
         encoder = shipped.get().encoder()
-        ids, sizes = encoder.encode([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()])
+        ids, sizes, decoded = encoder.both([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(encoder.decode(ids, sizes), pa.string())], ["ids", "decoded"])
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     return pieces(text.cast("binary"))
 

@@ -57,6 +57,57 @@ def test_pieces_in_any_portion_and_by_either_agenda(monkeypatch):
         encoder.encode(["a"])
 
 
+class Asked:
+    """The library, with the texts that it was asked to encode."""
+
+    def __init__(self, plain):
+        self.plain, self.texts, self.decode = plain, [], plain.decode
+
+    def encode(self, texts, **how):
+        self.texts += texts
+        return self.plain.encode(texts, **how)
+
+
+def test_the_library_is_asked_for_each_different_segment_once():
+    with open(pieces.default_model(), "rb") as file:
+        encoder = pieces.PieceEncoder(file.read(), check=True)
+    encoder.library = asked = Asked(encoder.library)
+    rng, words = random.Random(6), [f"wort{i}" for i in range(300)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=40)) for _ in range(10)) for _ in range(60)]
+    for some in (texts[:30], texts[30:]):
+        ids, sizes, decoded = encoder.both(some)
+        assert decoded == some and ids.tolist() == [i for t in some for i in [*asked.plain.encode(t), 2]]
+    assert all(sum(bool(re.search(rf"{w}\b", t)) for t in asked.texts) >= 1 for w in words)
+    assert sum(map(len, asked.texts)) < sum(map(len, texts)) / 10
+
+
+def test_wrong_ids_of_a_segment_fail_wherever_it_comes(monkeypatch):
+    with open(pieces.default_model(), "rb") as file:
+        model = file.read()
+    right = pieces.Vocabulary.merged
+    for odd in ("wrong", " wrong", "  ", "\n", "\u65e5\u672c"):
+        wrong = lambda self, segments, odd=odd: [x[4:] if s == odd else x for s, x in zip(segments, right(self, segments), strict=True)]
+        monkeypatch.setattr(pieces.Vocabulary, "merged", wrong)
+        for texts in (["a", f"b c\n{odd}\nd"], [f"a b\n{odd}"]):
+            encoder = pieces.PieceEncoder(model, check=True)
+            for _ in range(2):  # also when a worker tries again
+                with pytest.raises(ValueError):
+                    encoder.both(texts)
+
+
+def test_a_text_that_does_not_come_back_is_compared_whole():
+    with open(pieces.default_model(), "rb") as file:
+        encoder = pieces.PieceEncoder(file.read(), check=True)
+    encoder.library = asked = Asked(encoder.library)
+    decode, texts = asked.plain.decode, ["one", "two three", "four"]
+    asked.decode = lambda ids: decode(ids).replace("three", "3")
+    assert encoder.both(texts)[2] == ["one", "two 3", "four"] and asked.texts.count("two three") == 1
+    split = encoder.segments
+    encoder.segments = lambda text: split(text)[::-1]  # cut in a wrong way
+    with pytest.raises(ValueError):
+        encoder.both(texts)
+
+
 def test_vocabularies_of_other_kinds_are_refused():
     from sentencepiece import sentencepiece_model_pb2
 
