@@ -5,6 +5,7 @@ import pytest
 
 from payrecon import config
 from payrecon.operators import layout
+from payrecon.plans import delimited_queries as D
 from payrecon.plans import inputs as I
 from payrecon.plans import layout_queries as L
 from payrecon.sources import store
@@ -72,3 +73,13 @@ def test_a_released_table_is_gone(spark):
     assert made.count() == 20 and path in store._TABLES
     store.release(spark, mark)
     assert path not in store._TABLES and not [t for t in spark.catalog.listTables() if t.name.endswith(path[-32:])]
+
+
+@pytest.mark.parametrize("name", ["clean_cells", "percent_scale"])
+def test_cleaned_cells_are_not_moved(spark, joins_that_shuffle, name):
+    assert moves(D.QUERIES[name](spark, SF)) == 0
+
+
+def test_raw_rows_are_those_of_the_sql(spark):
+    made, told = D.raw_rows(I.stmt_rows(spark, SF)), I.view(spark, SF, D.RAW_ROWS)
+    assert made.count() == told.count() and made.exceptAll(told).isEmpty()
