@@ -6,6 +6,7 @@ import pytest
 from payrecon import config
 from payrecon.operators import layout
 from payrecon.plans import delimited_queries as D
+from payrecon.plans import history_queries as H
 from payrecon.plans import inputs as I
 from payrecon.plans import layout_queries as L
 from payrecon.sources import store
@@ -83,3 +84,19 @@ def test_cleaned_cells_are_not_moved(spark, joins_that_shuffle, name):
 def test_raw_rows_are_those_of_the_sql(spark):
     made, told = D.raw_rows(I.stmt_rows(spark, SF)), I.view(spark, SF, D.RAW_ROWS)
     assert made.count() == told.count() and made.exceptAll(told).isEmpty()
+
+
+def test_closed_rows_are_those_of_the_sql(spark):
+    made, told = I.closed_rows(I.stmt_rows(spark, SF)), I.view(spark, SF, I.CLOSED_ROWS)
+    assert made.count() == told.count() and made.exceptAll(told).isEmpty()
+
+
+def test_notes_move_no_cells(spark, joins_that_shuffle):
+    # What the three kinds of notes join are a few rows a statement.
+    assert moves(D.cleanup_notes(spark, SF)) == 0
+
+
+def test_payloads_move_rows_once(spark, joins_that_shuffle):
+    before = len(store.made_paths(spark))
+    H.payload_round_trip(spark, SF)
+    assert sum("statement-rows" in p for p in store.made_paths(spark)[before:]) == 1
