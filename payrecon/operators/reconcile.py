@@ -49,7 +49,7 @@ def exported_total(cells: DataFrame, mapped: DataFrame) -> DataFrame:
     mapped: `stmt_id, commission_column`, from the mapping of columns alone; what the references say has no part
     in choosing it.
     """
-    of = cells.join(mapped, (cells["stmt_id"] == mapped["stmt_id"]) & (cells["col_name"] == mapped["commission_column"]))
+    of = cells.join(mapped.hint("shuffle_hash"), (cells["stmt_id"] == mapped["stmt_id"]) & (cells["col_name"] == mapped["commission_column"]))
     figures = of.select(cells["stmt_id"], "commission_column", S.to_amount(F.col("value")).alias("_num")).filter("_num IS NOT NULL")
     return figures.groupBy("stmt_id", "commission_column").agg(S.cents(F.sum(S.money(F.col("_num")))).alias("exported_total"))
 

@@ -179,10 +179,11 @@ def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements to JSON payloads and back to the listing's columns."""
     from ..sources.payload import to_payload
 
-    rows = I.stmt_rows(spark, sf_dir).select("stmt_id", "row_no", F.create_map(F.lit("Policy"), "policy", F.lit("Comm $"), "comm").alias("row"))
+    lines = I.settled_rows(spark, sf_dir)
+    rows = lines.select("stmt_id", "row_no", F.create_map(F.lit("Policy"), "policy", F.lit("Comm $"), "comm").alias("row"))
     rows = rows.groupBy("stmt_id").agg(F.sort_array(F.collect_list(F.struct("row_no", F.col("row").cast("map<string,string>").getItem("Policy").alias("p"), F.col("row").getItem("Comm $").alias("c")))).alias("_r"))
     rows = rows.select("stmt_id", F.transform("_r", lambda r: F.create_map(F.lit("Policy"), r["p"], F.lit("Comm $"), r["c"])).alias("rows"))
-    docs = payout(spark, sf_dir).join(rows, "stmt_id", "left")
+    docs = payout(spark, sf_dir, lines).join(rows, "stmt_id", "left")
     return history.summary(docs.select(F.col("stmt_id").alias("id"), to_payload(docs).alias("payload")))
 
 
